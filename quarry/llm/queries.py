@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from quarry.llm import mixing, quality_rules
+from quarry.llm import chat, mixing, neighbours, packing, quality_rules, warc
 
 QUERIES = {
+    "op1_neighbours": neighbours.op1,
+    "op3_chat": chat.op3,
+    "op5_warc": warc.op5,
     "op6_quality_rules": quality_rules.op6,
+    "op8_packing": packing.op8,
     "op9_mixing": mixing.op9,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op3_chat": chat.SQL}
