@@ -21,7 +21,7 @@ Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 
 #: Never part of a rendered turn's own markup: the text of a turn when only its place is wanted.
-MARKER = "﷐"
+MARKER = "\ufdd0"
 
 _OPEN = re.compile(r"<(\\*)\|")
 _CLOSED = re.compile(r"<\\(\\*)\|")

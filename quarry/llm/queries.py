@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from quarry.llm import chat, mixing, neighbours, packing, quality_rules, warc
+from quarry.llm import chat, html_tree, mixing, neighbours, packing, quality_classifier, quality_rules, warc
 
 QUERIES = {
     "op1_neighbours": neighbours.op1,
     "op3_chat": chat.op3,
     "op5_warc": warc.op5,
     "op6_quality_rules": quality_rules.op6,
+    "op7_quality_classifier": quality_classifier.op7,
     "op8_packing": packing.op8,
     "op9_mixing": mixing.op9,
+    "op10_html": html_tree.op10,
 }
 
 SQL: dict[str, str] = {"op3_chat": chat.SQL}
