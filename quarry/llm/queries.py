@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quarry.llm import chat, html_tree, mixing, neighbours, packing, quality_classifier, quality_rules, warc
+from quarry.llm import chat, html_tree, jaccard_join, mixing, neighbours, packing, quality_classifier, quality_rules, warc
 
 QUERIES = {
     "op1_neighbours": neighbours.op1,
     "op3_chat": chat.op3,
+    "op4_jaccard_join": jaccard_join.op4,
     "op5_warc": warc.op5,
     "op6_quality_rules": quality_rules.op6,
     "op7_quality_classifier": quality_classifier.op7,
