@@ -43,17 +43,17 @@ def _bits(level: int):
     return F.shiftrightunsigned("key", 64 - BITS * level)
 
 
-def mix(spark: SparkSession, docs: DataFrame, cap: float = 3.0, scratch: Scratch | None = None) -> DataFrame:
-    """Per document: doc_id, size (words), source, source_size, target, taken (words the mix takes, repeats counted) and copies.
+def _measured(docs: DataFrame) -> DataFrame:
+    """docs with size, key (64-bit hash of doc_id and text) and source_key (which holds null sources too)."""
+    source = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
+    return docs.withColumns({"size": word_count(F.col("text")), "key": F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit(""))), "source_key": source})
 
-    Each document of a source is taken floor(target / size of the source) times, and once more if its 64-bit hash of doc_id and
-    text is below the source's threshold; the threshold fills what the whole rounds leave, to within half a document.
-    Reruns agree. Null text counts 0 words; null source is a source of its own, after the others; rows that are wholly equal
-    have equal hashes and are taken alike; an empty table gives no rows. Other columns of docs play no part.
+
+def thresholds(slim: DataFrame, scratch: Scratch, cap: float = 3.0) -> DataFrame:
+    """One row per source_key: source_size, target, rounds (whole takings of all its documents), budget left, limit and with_last.
+
+    slim has source, size, key and source_key. A document is taken once more if the first bits of its key are below limit.
     """
-    scratch = scratch or Scratch(spark, "mix")
-    key = F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit("")))
-    slim = scratch.keep(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key")), "slim")
     goals = scratch.keep(
         targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), cap)
         .withColumn("rounds", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int"))
@@ -61,7 +61,6 @@ def mix(spark: SparkSession, docs: DataFrame, cap: float = 3.0, scratch: Scratch
         .withColumn("source_key", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))),
         "goals",
     )
-    slim = slim.withColumn("source_key", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")))
     # nested thresholds: (source, prefix of the key so far, budget left for it)
     at = goals.select("source_key", F.lit(0).cast("long").alias("prefix"), F.col("budget").alias("left"))
     for level in range(1, LEVELS + 1):
@@ -82,11 +81,37 @@ def mix(spark: SparkSession, docs: DataFrame, cap: float = 3.0, scratch: Scratch
         at = at.drop("n") if level < LEVELS else at
     # the last bucket goes in if that comes nearer
     limit = edges.select("source_key", F.col("prefix").alias("limit"), (F.col("left") * 2 >= F.col("n")).alias("with_last"))
-    goals = scratch.keep(goals.join(limit, "source_key", "left").select("source_key", "source_size", "target", "rounds", "budget", "limit", "with_last"), "limits")
+    return scratch.keep(goals.join(limit, "source_key", "left").select("source_key", "source_size", "target", "rounds", "budget", "limit", "with_last"), "limits")
+
+
+def with_copies(docs: DataFrame, limits: DataFrame, cap: float = 3.0) -> DataFrame:
+    """Measured documents with copies, how often the mix takes each."""
     order = _bits(LEVELS)
     extra = F.when(F.col("limit").isNull(), F.col("budget") > 0).otherwise((order < F.col("limit")) | (F.col("with_last") & (order == F.col("limit"))))
-    copies = F.least(F.col("rounds") + extra.cast("int"), F.lit(int(cap)))
-    return slim.join(goals, "source_key").select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), "source", copies.alias("copies"))
+    return docs.join(limits, "source_key").withColumn("copies", F.least(F.col("rounds") + extra.cast("int"), F.lit(int(cap))))
+
+
+def mix(spark: SparkSession, docs: DataFrame, cap: float = 3.0, scratch: Scratch | None = None) -> DataFrame:
+    """Per document: doc_id, size (words), source, source_size, target, taken (words the mix takes, repeats counted) and copies.
+
+    Each document of a source is taken floor(target / size of the source) times, and once more if its 64-bit hash of doc_id and
+    text is below the source's threshold; the threshold fills what the whole rounds leave, to within half a document.
+    Reruns agree. Null text counts 0 words; null source is a source of its own, after the others; rows that are wholly equal
+    have equal hashes and are taken alike; an empty table gives no rows. Other columns of docs play no part.
+    """
+    scratch = scratch or Scratch(spark, "mix")
+    slim = scratch.keep(_measured(docs.select("doc_id", "source", "text")).drop("text"), "slim")
+    taken = with_copies(slim, thresholds(slim, scratch, cap), cap)
+    return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
+
+
+def repeat_to_targets(spark: SparkSession, docs: DataFrame, cap: float = 3.0, scratch: Scratch | None = None) -> DataFrame:
+    """The rows of docs as often as the mix takes them, with their own columns."""
+    scratch = scratch or Scratch(spark, "mix")
+    slim = scratch.keep(_measured(docs.select("doc_id", "source", "text")).drop("text"), "slim")
+    whole = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "text")
+    taken = with_copies(_measured(whole).drop("text"), thresholds(slim, scratch, cap), cap)
+    return taken.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

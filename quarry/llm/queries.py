@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quarry.llm import chat, html_tree, jaccard_join, mixing, neighbours, packing, quality_classifier, quality_rules, warc
+from quarry.llm import chat, html_tree, jaccard_join, mixing, neighbours, packing, quality_classifier, quality_rules, substring_dedup, warc
 
 QUERIES = {
     "op1_neighbours": neighbours.op1,
+    "op2_substring_dedup": substring_dedup.op2,
     "op3_chat": chat.op3,
     "op4_jaccard_join": jaccard_join.op4,
     "op5_warc": warc.op5,
