@@ -1,10 +1,11 @@
 """N-gram Jaccard join by a token-group matrix.
 
 Equal shingle sets are one node. Candidates come from prefixes: two sets as similar as asked for share a token among the first
-n - ceil(t n) + 1 of each, in any one order of all tokens. The order puts tokens that no other document has first, and frequent ones
-last, so documents that share a passage and nothing else never meet. Documents that meet form groups; groups of more than BLOCK
-members are first contracted towards leaders and then cut into blocks. A block holds the union of its members' tokens; a document
-of another block is compared with its members only if its overlap with that union could make a link. Links are exact.
+n - ceil(t n) + 1 of each, in any one order of all tokens. The order puts tokens that no other document has first and frequent
+ones last, so documents that share a passage and little else seldom meet. Each document is partitioned to the leader it meets most
+often, and what is linked there becomes a group, cut into parts of about BLOCK members. A part's row of the matrix is the union of
+its members' tokens. A document meets a part of another group through a token of that union; the document's tokens outside the
+union bound the overlap, and only parts that could still hold a link are opened and compared. Links are exact.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ from pyspark.sql import functions as F
 from quarry.llm.common import Rolling, Scratch, components, table, word_hashes
 
 BLOCK = 256
-LEADER_ROUNDS = 2
 #: Tokens in more documents than this need no finer order among themselves.
 FREQUENT = 1 << 20
 BASE = 0x9E3779B97F4A7C15
@@ -170,25 +170,6 @@ def _group_links(percent: int):
     return run
 
 
-def _leader_links(percent: int):
-    """Rows (doc_id, tokens, leader, leader_tokens) to (a, b) where the two are linked."""
-
-    def run(batches: Iterator):
-        import pyarrow as pa
-
-        for batch in batches:
-            a, b = [], []
-            for doc, x, leader, y in zip(*(batch.column(c) for c in ("doc_id", "tokens", "leader", "leader_tokens")), strict=True):
-                s, t = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                n = len(np.intersect1d(s, t, assume_unique=True))
-                if 100 * n >= percent * (len(s) + len(t) - n):
-                    a.append(leader.as_py())
-                    b.append(doc.as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return run
-
-
 def join(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, the smallest doc_id that links reach, its own included.
 
@@ -220,36 +201,40 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, sc
     length = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
     alone = F.col("inside") - F.size("ranked")
     taken = F.slice("ranked", F.lit(1), F.greatest(length - alone, F.lit(0)).cast("int"))
-    posts = own.join(held, "doc_id").select("doc_id", F.explode(F.concat(F.transform(taken, lambda x: x["token"]), "beyond")).alias("token"))
-    posts = scratch.keep(posts, "posts")
+    both = scratch.keep(own.join(held, "doc_id").select("doc_id", "n", "inside", "ranked", F.concat(F.transform(taken, lambda x: x["token"]), "beyond").alias("prefix")), "both")
     scratch.drop("shared")
-    leaders = scratch.keep(posts.groupBy("token").agg(F.min("doc_id").alias("leader"), F.count("*").alias("m")).where("m > 1").drop("m"), "leaders")
-    meets = scratch.keep(posts.join(leaders, "token").where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct(), "meets")
-    groups = scratch.keep(components(scratch, meets, "meet"), "groups")
-    sizes = scratch.keep(groups.groupBy("component").agg(F.count("*").alias("m")), "sizes")
-    members = groups.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("super"), "m")
+    posts = both.select("doc_id", "n", F.explode("prefix").alias("token"))
+    leaders = scratch.keep(posts.groupBy("token").agg(F.min(F.struct("doc_id", "n")).alias("l"), F.count("*").alias("m")).where("m > 1").select("token", F.col("l.doc_id").alias("leader"), F.col("l.n").alias("leader_n")), "leaders")
+    posts = scratch.keep(posts.join(leaders, "token"), "posts")
 
+    # the whole sets of the documents that meet any other
     def packed(batches: Iterator):
         import pyarrow as pa
 
         rolling = Rolling(BASE)
         for batch in batches:
             found = [shingles(x.as_py(), k, rolling).tobytes() for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("super"), batch.column("m"), pa.array(found, pa.binary())], names=["doc_id", "super", "m", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", "tokens"])
 
-    sets = docs.join(members, "doc_id").select("doc_id", "super", "m", "text").mapInArrow(packed, "doc_id long, super long, m long, tokens binary")
-    sets = scratch.keep(sets, "sets")
+    meeting = scratch.keep(posts.select("doc_id").distinct(), "meeting")
+    sets = scratch.keep(docs.join(meeting, "doc_id", "left_semi").mapInArrow(packed, "doc_id long, tokens binary"), "sets")
     scratch.release()
+
+    # first partition: each document with the leader that it meets most often
+    fits = (100 * F.least("n", "leader_n") >= percent * F.greatest("n", "leader_n")) & (F.col("doc_id") != F.col("leader"))
+    met = posts.where(fits).groupBy("doc_id", "leader").agg(F.count("*").alias("c"))
+    led = scratch.keep(met.groupBy("doc_id").agg(F.max_by("leader", F.struct("c", -F.col("leader"))).alias("leader")), "led")
+    size = scratch.keep(led.groupBy("leader").agg(F.count("*").alias("c")), "led-sizes")
+    buckets = max(1, led.count() // BLOCK)
+    # leaders of few share a job with others; those of many have their documents in several jobs
+    several = F.col("c") >= BLOCK // 2
+    job = F.when(several, F.xxhash64("leader", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("c") / BLOCK)))).otherwise(F.pmod(F.xxhash64("leader"), F.lit(buckets)))
+    at = led.join(size, "leader").select("doc_id", "leader", job.alias("job"))
+    at = scratch.keep(at.select("doc_id", "job").unionByName(at.select(F.col("leader").alias("doc_id"), "job").distinct()).distinct(), "jobs-1")
     pair = "a long, b long"
-    small = sets.where(F.col("m") <= BLOCK).select("super", "doc_id", F.col("doc_id").alias("comp"), F.lit(0).alias("side"), "tokens")
-    links = [scratch.keep(small.groupBy("super").applyInPandas(_group_links(percent), pair), "links-small")]
-
-    large = sets.where(F.col("m") > BLOCK)
-    if not large.isEmpty():
-        links += _large(scratch, large, percent)
-    edges = links[0]
-    for more in links[1:]:
-        edges = edges.unionByName(more)
+    first = sets.join(at, "doc_id").select("job", "doc_id", F.col("doc_id").alias("comp"), F.lit(0).alias("side"), "tokens")
+    first = scratch.keep(first.groupBy("job").applyInPandas(_group_links(percent), pair), "links-1")
+    edges = first.unionByName(_across(scratch, both, posts, sets, first, percent))
     joined = scratch.keep(components(scratch, edges, "link"), "joined")
     scratch.drop("sets")
     by_doc = named.dropDuplicates(["doc_id"]).join(joined.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("doc_id").alias("id"), F.coalesce("component", "rep").alias("component"))
@@ -257,40 +242,40 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, sc
     return slim.join(by_doc, slim["doc_id"] == by_doc["id"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _large(scratch: Scratch, large: DataFrame, percent: int) -> list[DataFrame]:
-    """Links of groups of more than BLOCK members: leaders first, then blocks of what they leave apart."""
-    pair, links = "a long, b long", []
-    comps = scratch.keep(large.select("doc_id", "super", F.col("doc_id").alias("comp")).distinct(), "comps-0")
-    for i in range(LEADER_ROUNDS):
-        # the smallest document not yet joined to another leads the others that are not
-        heads = comps.where("comp = doc_id").groupBy("super").agg(F.min("doc_id").alias("leader")) if i == 0 else comps.where("comp = doc_id").join(heads.select("super", F.col("leader").alias("was")), "super").where("doc_id <> was").groupBy("super").agg(F.min("doc_id").alias("leader"))
-        heads = scratch.keep(heads, f"heads-{i}")
-        open_docs = comps.where("comp = doc_id").select("doc_id")
-        lead = scratch.keep(heads.join(large.select(F.col("doc_id").alias("leader"), F.col("tokens").alias("leader_tokens")), "leader").dropDuplicates(["leader"]), f"lead-{i}")
-        asked = large.join(open_docs, "doc_id", "left_semi").join(lead.drop("m"), "super").where("doc_id <> leader")
-        found = scratch.keep(asked.select("doc_id", "tokens", "leader", "leader_tokens").mapInArrow(_leader_links(percent), pair), f"links-leader-{i}")
-        links.append(found)
-        moved = found.select(F.col("b").alias("doc_id"), F.col("a").alias("to"))
-        comps = scratch.keep(comps.join(moved, "doc_id", "left").select("doc_id", "super", F.coalesce("to", "comp").alias("comp")), f"comps-{i + 1}")
-    # blocks of one component where it is large, of several small ones otherwise
-    size = scratch.keep(comps.groupBy("super", "comp").agg(F.count("*").alias("c")), "comp-sizes")
-    rest = scratch.keep(size.groupBy("super").agg(F.count("*").alias("comps"), F.sum(F.when(F.col("c") < BLOCK // 2, F.col("c")).otherwise(0)).alias("mixed")).where("comps > 1"), "rest")
-    pure = F.col("c") >= BLOCK // 2
-    dealt = size.join(rest, "super").select("super", "comp", pure.alias("pure"), F.when(pure, F.ceil(F.col("c") / BLOCK)).otherwise(F.ceil(F.col("mixed") / BLOCK)).cast("int").alias("parts"))
-    dealt = scratch.keep(dealt, "dealt")
-    of = F.when(F.col("pure"), F.pmod(F.xxhash64("doc_id"), F.col("parts"))).otherwise(F.pmod(F.xxhash64("comp"), F.col("parts"))).cast("int")
-    placed = comps.join(dealt, ["super", "comp"]).select("doc_id", "super", "comp", F.when(F.col("pure"), F.col("comp")).otherwise(F.lit(-1)).alias("of"), of.alias("part"))
-    placed = scratch.keep(placed, "placed")
-    blocks = scratch.keep(placed.select("super", "of", "part").distinct().withColumn("key", F.struct("of", "part")), "blocks")
-    other = blocks.select("super", F.col("key").alias("key2"), F.col("of").alias("of2"))
-    # blocks, not documents, are paired: as many pairs as the square of members / BLOCK, less those of one component
-    pairs = blocks.join(other, "super").where((F.col("key") <= F.col("key2")) & ((F.col("of") != F.col("of2")) | (F.col("of") == -1)))
-    pairs = scratch.keep(pairs.select("super", "key", "key2", F.xxhash64("super", "key", "key2").alias("job")), "pairs")
-    sides = pairs.select("super", "key", "job", F.when(F.col("key") == F.col("key2"), 0).otherwise(1).alias("side")).unionByName(pairs.where("key <> key2").select("super", F.col("key2").alias("key"), "job", F.lit(2).alias("side")))
-    keyed = placed.withColumn("key", F.struct("of", "part")).join(sides, ["super", "key"]).select("doc_id", "comp", "job", "side")
-    jobs = large.select("doc_id", "tokens").join(keyed, "doc_id").select("job", "doc_id", "comp", "side", "tokens")
-    links.append(scratch.keep(jobs.groupBy("job").applyInPandas(_group_links(percent), pair), "links-blocks"))
-    return links
+def _across(scratch: Scratch, both: DataFrame, posts: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Links between groups: a document of the smaller group against the parts of the larger that its tokens qualify for."""
+    linked = scratch.keep(components(scratch, found, "first"), "first")
+    member = both.select("doc_id", "n", "inside", F.size("ranked").alias("shared"), F.transform("ranked", lambda x: F.hash(x["token"])).alias("ints"))
+    member = scratch.keep(member.join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component"), "member")
+    size = scratch.keep(member.groupBy("comp").agg(F.count("*").alias("c")), "group-sizes")
+    part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("c") / BLOCK))
+    member = scratch.keep(member.join(size, "comp").withColumn("part", part), "parted")
+    # the matrix: each part's sizes and the union of its members' shared tokens
+    union = F.array_distinct(F.flatten(F.collect_list("ints")))
+    parts = scratch.keep(member.groupBy("comp", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("c").alias("gc"), union.alias("union")), "parts")
+    at = scratch.keep(posts.select("token", "doc_id").join(member.select("doc_id", "n", "comp", "part", "c"), "doc_id"), "placed")
+    rows = at.groupBy("token", "comp", "part").agg(F.max("c").alias("gc"), F.min("n").alias("lo"), F.max("n").alias("hi")).withColumnsRenamed({"comp": "g", "part": "gp"})
+    rows = scratch.keep(rows, "matrix")
+    smaller = F.struct("c", "comp") < F.struct(F.col("gc").alias("c"), F.col("g").alias("comp"))
+    reach = (100 * F.col("n") >= percent * F.col("lo")) & (100 * F.col("hi") >= percent * F.col("n"))
+    asked = scratch.keep(at.join(rows, "token").where(smaller & reach).select("doc_id", "g", "gp").distinct(), "asked")
+    # what the document has outside the union it cannot share; a link leaves it only so much to miss
+    own = member.select("doc_id", "n", "inside", "shared", "ints")
+    bound = asked.join(own, "doc_id").join(parts.withColumnsRenamed({"comp": "g", "part": "gp"}).drop("gc"), ["g", "gp"])
+    other = F.greatest(F.col("lo"), F.ceil(F.col("n") * percent / 100))
+    spare = F.col("n") - F.ceil(percent * (F.col("n") + other) / (100 + percent))
+    missing = F.size(F.array_except("ints", "union")) + F.col("inside") - F.col("shared")
+    opened = scratch.keep(bound.where(missing <= spare).select("doc_id", "g", "gp"), "opened")
+    scratch.release()
+    asks = scratch.keep(opened.groupBy("g", "gp").agg(F.count("*").alias("asks")), "asks")
+    buckets = max(1, opened.count() // BLOCK)
+    several = F.col("asks") >= BLOCK // 4
+    job = F.when(several, F.xxhash64("g", "gp", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("asks") / BLOCK)))).otherwise(F.pmod(F.xxhash64("g", "gp"), F.lit(buckets)))
+    jobs = scratch.keep(opened.join(asks, ["g", "gp"]).select("doc_id", "g", "gp", job.alias("job")), "jobs-2")
+    opens = jobs.select("g", "gp", "job").distinct().join(member.select(F.col("comp").alias("g"), F.col("part").alias("gp"), "doc_id"), ["g", "gp"]).select("doc_id", "job")
+    named = scratch.keep(jobs.select("doc_id", "job").unionByName(opens).distinct().join(member.select("doc_id", "comp"), "doc_id"), "named-2")
+    rows = sets.join(named, "doc_id").select("job", "doc_id", "comp", F.lit(0).alias("side"), "tokens")
+    return scratch.keep(rows.groupBy("job").applyInPandas(_group_links(percent), "a long, b long"), "links-2")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
