@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from quarry.operators import evaluation, graph, language, relational, retrieval, statistics, temporal, writes  # noqa: F401
+from quarry.functions import text  # noqa: F401
+from quarry.sources import readers  # noqa: F401
+from quarry.streaming import folds  # noqa: F401
+from quarry.plans.registry import OPERATORS, QUERIES, SQL
+
+__all__ = ["OPERATORS", "QUERIES", "SQL"]
