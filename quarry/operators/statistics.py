@@ -95,11 +95,11 @@ def node_balance():
     UNION ALL SELECT s_nationkey, l_extendedprice FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey) AS f GROUP BY nation"""
 
 
-@query("path_combination", "A21 A22", "SELECT l_orderkey, round(1 - exp(sum(ln(1 - l_discount))), 4) AS noisy_or, round(max((1 - l_discount) * (1 - l_tax)), 4) AS best_product, round(min(l_discount + l_tax), 4) AS least_sum, round(greatest(0.0, sum(1 - l_discount) - (count(*) - 1)), 4) AS lower, round(min(1 - l_discount), 4) AS upper FROM lineitem GROUP BY 1")
+@query("path_combination", "A21 A22", "SELECT l_orderkey, round(1 - exp(sum(ln(1 - l_discount))) + 1e-9, 6) AS noisy_or, round(max((1 - l_discount) * (1 - l_tax)), 4) AS best_product, round(min(l_discount + l_tax), 4) AS least_sum, round(greatest(0.0, sum(1 - l_discount) - (count(*) - 1)), 4) AS lower, round(min(1 - l_discount), 4) AS upper FROM lineitem GROUP BY 1")
 def path_combination(spark, d):
     disc, tax = F.col("l_discount"), F.col("l_tax")
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg(
-        F.round(1 - F.exp(F.sum(F.log1p(-disc))), 4).alias("noisy_or"), F.round(F.max((1 - disc) * (1 - tax)), 4).alias("best_product"), F.round(F.min(disc + tax), 4).alias("least_sum"),
+        F.round(1 - F.exp(F.sum(F.log1p(-disc))) + 1e-9, 6).alias("noisy_or"), F.round(F.max((1 - disc) * (1 - tax)), 4).alias("best_product"), F.round(F.min(disc + tax), 4).alias("least_sum"),
         F.round(F.greatest(F.lit(0.0), F.sum(1 - disc) - (F.count("*") - 1)), 4).alias("lower"), F.round(F.min(1 - disc), 4).alias("upper"),
     )
 
