@@ -1 +1,344 @@
-"""To be filled."""
+"""Graphs as edge tables: build, slice, merge, walks, ranks, components, distances, cores, diffusion.
+
+Iterations are fixed-length programs of joins and partial sums; every few rounds the state is written through checkpoint(), which
+cuts lineage and survives lost executors. Nothing gathers a graph on the driver but the kernels that say so, on bounded slices.
+"""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from quarry.plans.registry import query, table
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
+    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not sc.getCheckpointDir():
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
+    return df.checkpoint()
+
+
+def copurchase(lines: DataFrame, least: int = 1) -> DataFrame:
+    """(a, b, w): parts that share orders. An order has at most seven lines, so its pairs are made inside its own array."""
+    per = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("p")).where(F.size("p") > 1)
+    at = F.sequence(F.lit(0), F.size("p") - 2)
+    pairs = F.flatten(F.transform(at, lambda i: F.transform(F.slice("p", i + 2, F.size("p")), lambda y: F.struct(F.get("p", i).alias("a"), y.alias("b")))))
+    return per.select(F.explode(pairs).alias("e")).groupBy("e.a", "e.b").agg(F.count("*").alias("w")).where(F.col("w") >= least)
+
+
+_CO = "co AS (SELECT a, b, count(*) AS w FROM (SELECT DISTINCT x.l_orderkey, x.l_partkey AS a, y.l_partkey AS b FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_partkey < y.l_partkey) GROUP BY 1, 2)"
+
+
+@query("copurchase_graph", "G01 J18", f"WITH {_CO} SELECT a, b, w FROM co")
+def copurchase_graph(spark, d):
+    return copurchase(table(spark, d, "lineitem"))
+
+
+@query("degrees", "G09 A08", f"WITH {_CO}, s AS (SELECT a AS node, w FROM co UNION ALL SELECT b, w FROM co) SELECT node, count(*) AS degree, sum(w)::BIGINT AS strength FROM s GROUP BY 1")
+def degrees(spark, d):
+    e = copurchase(table(spark, d, "lineitem"))
+    return ends(e).groupBy("node").agg(F.count("*").alias("degree"), F.sum("w").alias("strength"))
+
+
+def ends(edges: DataFrame) -> DataFrame:
+    """(node, other, w): each edge from both sides."""
+    return edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other"), "w"), F.struct(F.col("b").alias("node"), F.col("a").alias("other"), "w"))).alias("x")).select("x.*")
+
+
+@query("triangles", "J19 G13", f"WITH {_CO}, h AS (SELECT a, b FROM co WHERE a % 4 = b % 4) SELECT x.a, x.b, y.b AS c FROM h x JOIN h y ON x.b = y.a JOIN h z ON z.a = x.a AND z.b = y.b")
+def triangles(spark, d):
+    h = copurchase(table(spark, d, "lineitem")).where("a % 4 = b % 4").select("a", "b")
+    wedges = h.join(h.toDF("b", "c"), "b")
+    return wedges.join(h.toDF("a", "c"), ["a", "c"]).select("a", "b", "c")
+
+
+@query("graph_slice", "G02 J06 W01 U02", f"WITH {_CO}, s AS (SELECT a AS node, b AS other, w FROM co WHERE a <= 20 UNION ALL SELECT b, a, w FROM co WHERE b <= 20), r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY w DESC, other) AS r FROM s) SELECT node, other, w FROM r WHERE r <= 5")
+def graph_slice(spark, d):
+    return slice_of(copurchase(table(spark, d, "lineitem")), F.col("node") <= 20, 5)
+
+
+def slice_of(edges: DataFrame, seeds, k: int) -> DataFrame:
+    """The k strongest edges of each seed node."""
+    w = Window.partitionBy("node").orderBy(F.desc("w"), "other")
+    return ends(edges).where(seeds).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
+
+
+@query(
+    "graph_merge_upsert",
+    "G03 K02 U04 X20",
+    """WITH u AS (SELECT l_partkey AS id, l_discount AS alpha, [l_returnflag] AS tags, l_shipdate AS seen, l_orderkey * 10 + l_linenumber AS k FROM lineitem) SELECT id, max(alpha) AS alpha, array_to_string(list_sort(list(DISTINCT tags[1])), ',') AS tags, max_by(k, {'s': seen, 'k': k}) AS last FROM u GROUP BY id""",
+)
+def graph_merge_upsert(spark, d):
+    lines = table(spark, d, "lineitem").select(F.col("l_partkey").alias("id"), F.col("l_discount").alias("alpha"), F.array("l_returnflag").alias("tags"), F.col("l_shipdate").alias("at"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"))
+    old, new = lines.where("k % 2 = 0"), lines.where("k % 2 = 1")
+    return merge(old.unionByName(new))
+
+
+def merge(rows: DataFrame) -> DataFrame:
+    """Upsert of nodes: largest alpha, union of tags, the payload of the latest row."""
+    merged = rows.groupBy("id").agg(F.max("alpha").alias("alpha"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("tags")))).alias("tags"), F.max_by("k", F.struct("at", "k")).alias("last"))
+    return merged.select("id", "alpha", F.concat_ws(",", "tags").alias("tags"), "last")
+
+
+def walk(edges: DataFrame, restart: DataFrame, rounds: int, keep: float = 0.85, uniform: bool = False) -> DataFrame:
+    """Random walk with restart over (src, dst, w) from restart (node, p): mass that finds no edge goes back to the restart, or to all nodes."""
+    e = cut(edges.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("src"))))
+    start = cut(restart)
+    nodes = start.count() if uniform else 1
+    at = start
+    for i in range(rounds):
+        moved = at.join(e, at["node"] == e["src"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("p") * F.col("w")).alias("m"))
+        total = F.broadcast(moved.agg(F.coalesce(F.sum("m"), F.lit(0.0)).alias("held")))
+        back = (1 - keep) + keep * (1 - F.col("held"))
+        if uniform:
+            at = start.select("node", F.col("p").alias("r")).join(moved, "node", "left").crossJoin(total).select("node", ((1 - keep) * F.col("r") + keep * (F.coalesce("m", F.lit(0.0)) + (1 - F.col("held")) / nodes)).alias("p"))
+        else:
+            at = start.select("node", F.col("p").alias("r")).join(moved, "node", "full").crossJoin(total).select("node", (keep * F.coalesce("m", F.lit(0.0)) + back * F.coalesce("r", F.lit(0.0))).alias("p"))
+        if i % 3 == 2:
+            at = cut(at)
+    return at
+
+
+_CS = "e AS (SELECT 'c' || c_nationkey AS src, 's' || s_nationkey AS dst, count(*)::DOUBLE AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 30 GROUP BY 1, 2 UNION ALL SELECT 's' || s_nationkey, 'c' || ((s_nationkey + 1) % 25), 2.0 FROM (SELECT DISTINCT s_nationkey FROM supplier WHERE s_nationkey < 20)), n AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS w FROM e)"
+
+
+def trade(spark, d) -> DataFrame:
+    """Nations of customers to nations of suppliers by lines sold, and a few edges back."""
+    lines = table(spark, d, "lineitem").where("l_quantity > 30").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = lines.join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    sold = lines.groupBy(F.concat(F.lit("c"), "c_nationkey").alias("src"), F.concat(F.lit("s"), "s_nationkey").alias("dst")).agg(F.count("*").cast("double").alias("w"))
+    back = table(spark, d, "supplier").where("s_nationkey < 20").select("s_nationkey").distinct()
+    return sold.unionByName(back.select(F.concat(F.lit("s"), "s_nationkey").alias("src"), F.concat(F.lit("c"), (F.col("s_nationkey") + 1) % 25).alias("dst"), F.lit(2.0).alias("w")))
+
+
+def _rounds(uniform: bool, n: int) -> str:
+    out = [f"WITH {_CS}"]
+    if uniform:
+        out.append("r AS (SELECT node, 1.0::DOUBLE / count(*) OVER () AS p FROM (SELECT DISTINCT src AS node FROM e UNION SELECT DISTINCT dst FROM e))")
+    else:
+        out.append("r AS (SELECT 'c1' AS node, 0.5::DOUBLE AS p UNION ALL SELECT 'c2', 0.5)")
+    out.append("p0 AS (SELECT * FROM r)")
+    for i in range(1, n + 1):
+        out.append(f"m{i} AS MATERIALIZED (SELECT dst AS node, sum(p * w) AS m FROM p{i - 1} JOIN n ON node = src GROUP BY 1), h{i} AS (SELECT coalesce(sum(m), 0) AS held FROM m{i})")
+        if uniform:
+            out.append(f"p{i} AS MATERIALIZED (SELECT node, 0.15 * p + 0.85 * (coalesce(m, 0) + (1 - held) / (SELECT count(*) FROM r)) AS p FROM r LEFT JOIN m{i} USING (node), h{i})")
+        else:
+            out.append(f"p{i} AS MATERIALIZED (SELECT coalesce(r.node, m{i}.node) AS node, 0.85 * coalesce(m, 0) + (0.15 + 0.85 * (1 - held)) * coalesce(p, 0) AS p FROM r FULL JOIN m{i} ON r.node = m{i}.node, h{i})")
+    return ", ".join(out) + f" SELECT node, round(p, 6) AS p FROM p{n}"
+
+
+@query("random_walk_with_restart", "G04 G23 P01 P02", _rounds(False, 6))
+def random_walk_with_restart(spark, d):
+    restart = spark.createDataFrame([("c1", 0.5), ("c2", 0.5)], "node string, p double")
+    return walk(trade(spark, d), restart, 6).select("node", F.round("p", 6).alias("p"))
+
+
+@query("pagerank_fixed", "G07", _rounds(True, 6))
+def pagerank_fixed(spark, d):
+    e = trade(spark, d)
+    nodes = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    n = nodes.count()
+    return walk(e, nodes.withColumn("p", F.lit(1.0 / n)), 6, uniform=True).select("node", F.round("p", 6).alias("p"))
+
+
+def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """(node, level): least number of edges (src, dst) from any seed, at most depth: a frontier joined once a level."""
+    seen = cut(seeds.select("node", F.lit(0).alias("level")))
+    front = seen
+    for level in range(1, depth + 1):
+        step = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
+        front = cut(step.select("node", F.lit(level).alias("level")))
+        seen = seen.unionByName(front)
+    return seen
+
+
+@query("bfs_levels", "G11 J20", f"WITH RECURSIVE {_CO}, s AS (SELECT a AS src, b AS dst FROM co WHERE w >= 2 UNION ALL SELECT b, a FROM co WHERE w >= 2), r AS (SELECT 1::BIGINT AS node, 0 AS level UNION SELECT dst, level + 1 FROM r JOIN s ON node = src WHERE level < 4) SELECT node, min(level)::INTEGER AS level FROM r GROUP BY 1")
+def bfs_levels(spark, d):
+    e = cut(ends(copurchase(table(spark, d, "lineitem"), 2)).select(F.col("node").alias("src"), F.col("other").alias("dst")))
+    return reach(e, spark.range(1, 2).toDF("node"), 4)
+
+
+def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
+    """(node, component): smallest node each can reach over (a, b). Labels take the least of their neighbours' and then of their label's own label, so paths halve each round."""
+    e = cut(edges.select("a", "b").where("a <> b"))
+    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = cut(both.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("component")))
+    for _ in range(rounds):
+        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("m"))
+        low = labels.join(near, labels["node"] == near["a"]).select("node", "component", F.least("component", "m").alias("m"))
+        jump = low.join(labels.toDF("m", "mm"), "m", "left").select("node", F.col("component").alias("was"), F.least("m", F.coalesce("mm", "m")).alias("component"))
+        after = cut(jump)
+        changed = after.where("was <> component").limit(1).count()
+        labels = after.select("node", "component")
+        if not changed:
+            return labels
+    raise RuntimeError("components did not settle")
+
+
+@query(
+    "components",
+    "G08",
+    f"WITH RECURSIVE {_CO}, h AS (SELECT a, b FROM co WHERE w >= 2 AND a % 7 = b % 7), s AS (SELECT a, b FROM h UNION ALL SELECT b, a FROM h), r AS (SELECT a AS node, a AS reach FROM s UNION SELECT r.node, s.b FROM r JOIN s ON r.reach = s.a) SELECT node, min(reach) AS component FROM r GROUP BY 1",
+)
+def components_query(spark, d):
+    return components(copurchase(table(spark, d, "lineitem"), 2).where("a % 7 = b % 7"))
+
+
+def cores(edges: DataFrame, highest: int = 50) -> DataFrame:
+    """(node, core): nodes are peeled in rounds until all left have more neighbours than the level asks."""
+    left = cut(ends(edges.withColumn("w", F.lit(1))).select("node", "other"))
+    out = None
+    for k in range(1, highest + 1):
+        while True:
+            low = left.groupBy("node").agg(F.count("*").alias("c")).where(F.col("c") < k + 1).select("node")
+            low = cut(low)
+            if low.isEmpty():
+                break
+            found = low.select("node", F.lit(k).alias("core"))
+            out = found if out is None else out.unionByName(found)
+            rest = left.join(low, "node", "left_anti")
+            # a neighbour whose last edge goes stays to be peeled at this level
+            gone = rest.join(low.withColumnRenamed("node", "other"), "other", "left_anti")
+            lone = rest.select("node").distinct().join(gone.select("node"), "node", "left_anti").select("node", F.lit(k).alias("core"))
+            out = out.unionByName(cut(lone))
+            left = cut(gone)
+        if left.isEmpty():
+            break
+    return out
+
+
+@query("core_numbers", "G10")
+def core_numbers(spark, d):
+    return cores(copurchase(table(spark, d, "lineitem"), 2).where("a % 7 = b % 7"), 12)
+
+
+def _heat(n: int) -> str:
+    out = [f"WITH {_CO}, s AS (SELECT a AS src, b AS dst, w::DOUBLE AS w FROM co WHERE a <= 200 AND b <= 200 UNION ALL SELECT b, a, w FROM co WHERE a <= 200 AND b <= 200), g AS (SELECT src AS node, sum(w) AS deg FROM s GROUP BY 1), p0 AS (SELECT node, CASE WHEN node <= 5 THEN 1.0 ELSE 0.0 END::DOUBLE AS h, deg FROM g)"]
+    for i in range(1, n + 1):
+        out.append(f"p{i} AS MATERIALIZED (SELECT x.node, x.h + 0.2 * (sum(s.w * y.h) / x.deg - x.h) AS h, x.deg FROM p{i - 1} x JOIN s ON s.src = x.node JOIN p{i - 1} y ON y.node = s.dst GROUP BY x.node, x.h, x.deg)")
+    return ", ".join(out) + f" SELECT node, round(h, 6) AS heat FROM p{n}"
+
+
+@query("heat_diffusion", "G14 G17", _heat(4))
+def heat_diffusion(spark, d):
+    e = copurchase(table(spark, d, "lineitem")).where("a <= 200 AND b <= 200")
+    s = cut(ends(e).select(F.col("node").alias("src"), F.col("other").alias("dst"), F.col("w").cast("double").alias("w")))
+    at = s.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("deg")).select("node", F.when(F.col("node") <= 5, 1.0).otherwise(0.0).alias("h"), "deg")
+    for i in range(4):
+        pull = s.join(at.select(F.col("node").alias("dst"), "h"), "dst").groupBy(F.col("src").alias("node")).agg(F.sum(F.col("w") * F.col("h")).alias("pull"))
+        at = at.join(pull, "node").select("node", (F.col("h") + 0.2 * (F.col("pull") / F.col("deg") - F.col("h"))).alias("h"), "deg")
+        at = cut(at) if i % 2 else at
+    return at.select("node", F.round("h", 6).alias("heat"))
+
+
+def spectrum(weights) -> dict:
+    """Laplacian eigenvalues, Fiedler value and spectral entropy of a symmetric weight matrix."""
+    import numpy as np
+
+    w = np.asarray(weights, float)
+    lap = np.diag(w.sum(1)) - w
+    values = np.clip(np.linalg.eigvalsh(lap), 0, None)
+    p = values / values.sum() if values.sum() else values
+    return {"fiedler": float(values[1]) if len(values) > 1 else 0.0, "largest": float(values[-1]), "entropy": float(-(p[p > 0] * np.log2(p[p > 0])).sum())}
+
+
+@query("region_spectra", "G12 G13")
+def region_spectra(spark, d):
+    """Spectrum of each region's trade between its nations: five nations a region are all that a group holds."""
+    import numpy as np
+
+    def solve(pdf):
+        keys = sorted(set(pdf["x"]) | set(pdf["y"]))
+        w = np.zeros((len(keys), len(keys)))
+        for r in pdf.itertuples():
+            i, j = keys.index(r.x), keys.index(r.y)
+            if i != j:
+                w[i, j] += r.w
+                w[j, i] += r.w
+        s = spectrum(w)
+        return pdf.__class__({"region": [pdf["region"].iloc[0]], **{k: [round(v, 6)] for k, v in s.items()}})
+
+    n = table(spark, d, "nation").select("n_nationkey", "n_regionkey")
+    e = trade(spark, d).where("src LIKE 'c%'").select(F.expr("int(substr(src, 2))").alias("x"), F.expr("int(substr(dst, 2))").alias("y"), "w")
+    e = e.join(n.toDF("x", "region"), "x").join(n.toDF("y", "r2"), "y").where("region = r2")
+    return e.select("region", "x", "y", "w").groupBy("region").applyInPandas(solve, "region int, fiedler double, largest double, entropy double")
+
+
+def max_flow(edges: list[tuple], source, sink) -> float:
+    """Edmonds-Karp."""
+    from collections import defaultdict, deque
+
+    room, near = defaultdict(float), defaultdict(set)
+    for a, b, w in edges:
+        room[a, b] += w
+        near[a].add(b)
+        near[b].add(a)
+    total = 0.0
+    while True:
+        came, todo = {source: None}, deque([source])
+        while todo and sink not in came:
+            x = todo.popleft()
+            for y in sorted(near[x]):
+                if y not in came and room[x, y] > 1e-12:
+                    came[y] = x
+                    todo.append(y)
+        if sink not in came:
+            return total
+        path, y = [], sink
+        while came[y] is not None:
+            path.append((came[y], y))
+            y = came[y]
+        push = min(room[e] for e in path)
+        for a, b in path:
+            room[a, b] -= push
+            room[b, a] += push
+        total += push
+
+
+@query("region_max_flow", "G15 G16")
+def region_max_flow(spark, d):
+    """Largest flow from each region's first nation of customers to its last nation of suppliers, a group a region."""
+
+    def solve(pdf):
+        edges = [(r.src, r.dst, r.w) for r in pdf.itertuples()]
+        nodes = sorted({x for e in edges for x in e[:2]})
+        return pdf.__class__({"region": [pdf["region"].iloc[0]], "flow": [round(max_flow(edges, nodes[0], nodes[-1]), 6)]})
+
+    n = table(spark, d, "nation").select("n_nationkey", F.col("n_regionkey").alias("region"))
+    e = trade(spark, d).withColumn("k", F.expr("int(substr(src, 2))"))
+    return e.join(n, e["k"] == n["n_nationkey"]).select("region", "src", "dst", "w").groupBy("region").applyInPandas(solve, "region int, flow double")
+
+
+@query(
+    "typed_walks",
+    "G19 G22",
+    f"""WITH RECURSIVE {_CO}, s AS (SELECT a AS src, b AS dst FROM co WHERE a <= 300 AND b <= 300 UNION ALL SELECT b, a FROM co WHERE a <= 300 AND b <= 300), k AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS i, count(*) OVER (PARTITION BY src) AS n FROM s),
+r AS (SELECT DISTINCT src AS start, src AS node, 0 AS step FROM s UNION ALL SELECT start, dst, step + 1 FROM r JOIN k ON node = src AND i = (('0x' || substr(sha256(start || ':' || step), 1, 8))::BIGINT) % n WHERE step < 3) SELECT start, step, node FROM r""",
+)
+def typed_walks(spark, d):
+    s = ends(copurchase(table(spark, d, "lineitem")).where("a <= 300 AND b <= 300"))
+    near = cut(s.groupBy("node").agg(F.array_sort(F.collect_list("other")).alias("near")))
+    at = near.select(F.col("node").alias("start"), F.lit(0).alias("step"), "node")
+    out = at
+    for step in range(3):
+        pick = F.conv(F.substring(F.sha2(F.concat(F.col("start").cast("string"), F.lit(f":{step}")), 256), 1, 8), 16, 10).cast("long")
+        at = at.join(near, "node").select("start", F.lit(step + 1).alias("step"), F.get("near", (pick % F.size("near")).cast("int")).alias("node"))
+        out = out.unionByName(at)
+    return out
+
+
+@query("local_push", "G06 G24")
+def local_push(spark, d):
+    """Forward-push personalised PageRank from two nations: residual above eps is pushed in rounds; the frontier alone is joined."""
+    e = cut(trade(spark, d).withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("src"))))
+    state = spark.createDataFrame([("c1", 0.0, 0.5), ("c2", 0.0, 0.5)], "node string, p double, r double")
+    for _ in range(8):
+        hot = state.where("r > 0.0005")
+        sent = hot.join(e, hot["node"] == e["src"]).groupBy(F.col("dst").alias("node")).agg(F.sum(0.85 * F.col("r") * F.col("w")).alias("in"))
+        kept = state.select("node", F.when(F.col("r") > 0.0005, F.col("p") + 0.15 * F.col("r")).otherwise(F.col("p")).alias("p"), F.when(F.col("r") > 0.0005, 0.0).otherwise(F.col("r")).alias("r"))
+        state = cut(kept.join(sent, "node", "full").select("node", F.coalesce("p", F.lit(0.0)).alias("p"), (F.coalesce("r", F.lit(0.0)) + F.coalesce("in", F.lit(0.0))).alias("r")))
+    return state.select("node", F.round("p", 6).alias("p"), F.round("r", 6).alias("r"))

@@ -1 +1,69 @@
-"""To be filled."""
+"""Writes as new tables: insert-ignore, upserts, raise-only updates, cascading deletes and invariants.
+
+Parquet has no row updates, so each write is the query for the table's next version; the caller overwrites or swaps it.
+Compare-and-set and locks have no counterpart here and are left out.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from quarry.plans.registry import query, table
+
+
+def insert_ignore(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """old and the rows of new whose keys it does not have; of new rows with one key the first by all columns."""
+    first = new.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(*new.columns))).where("_r = 1").drop("_r")
+    return old.unionByName(first.join(old.select(*key), key, "left_anti"))
+
+
+def raise_only(old: DataFrame, new: DataFrame, key: str, score: str) -> DataFrame:
+    """Rows of either side with the highest score a key; old ones win ties."""
+    rows = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    best = rows.groupBy(key).agg(F.max_by(F.struct(*old.columns), F.struct(score, -F.col("_new"))).alias("x"))
+    return best.select("x.*")
+
+
+def upsert_changed(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """old with new's values where any differs (null-safe); how says what happened to each row."""
+    rest = [c for c in old.columns if c != key]
+    both = old.alias("o").join(new.alias("n"), key, "full")
+    there_old, there_new = F.col(f"o.{rest[0]}").isNotNull(), F.col(f"n.{rest[0]}").isNotNull()
+    same = F.lit(True)
+    for c in rest:
+        same = same & F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}"))
+    how = F.when(~there_new, "kept").when(~there_old, "inserted").when(same, "same").otherwise("updated")
+    return both.select(key, *[F.when(there_new, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in rest], how.alias("how"))
+
+
+@query("insert_ignore", "K01 S25", "WITH o AS (SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey % 2 = 0), n AS (SELECT DISTINCT ON (l_orderkey, l_linenumber) l_orderkey, l_linenumber, l_quantity FROM (SELECT l_orderkey, l_linenumber, l_quantity + 1 AS l_quantity FROM lineitem) ORDER BY l_orderkey, l_linenumber, l_quantity) SELECT * FROM o UNION ALL SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.l_orderkey = n.l_orderkey AND o.l_linenumber = n.l_linenumber)")
+def insert_ignore_lines(spark, d):
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return insert_ignore(lines.where("l_orderkey % 2 = 0"), lines.withColumn("l_quantity", F.col("l_quantity") + 1), ["l_orderkey", "l_linenumber"])
+
+
+@query("raise_only_upsert", "K03", "WITH r AS (SELECT l_partkey, l_extendedprice AS score, l_orderkey, l_linenumber FROM lineitem) SELECT l_partkey, max(score) AS score FROM r GROUP BY 1")
+def raise_only_upsert(spark, d):
+    rows = table(spark, d, "lineitem").select("l_partkey", F.col("l_extendedprice").alias("score"), "l_orderkey")
+    return raise_only(rows.where("l_orderkey % 2 = 0"), rows.where("l_orderkey % 2 = 1"), "l_partkey", "score").select("l_partkey", "score")
+
+
+@query("upsert_changed", "K02 F08", "WITH o AS (SELECT c_custkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal ELSE c_acctbal + 1 END AS c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 5 <> 0) SELECT coalesce(o.c_custkey, n.c_custkey) AS c_custkey, coalesce(n.c_acctbal, o.c_acctbal) AS c_acctbal, coalesce(n.c_mktsegment, o.c_mktsegment) AS c_mktsegment, CASE WHEN n.c_custkey IS NULL THEN 'kept' WHEN o.c_custkey IS NULL THEN 'inserted' WHEN o.c_acctbal IS NOT DISTINCT FROM n.c_acctbal THEN 'same' ELSE 'updated' END AS how FROM o FULL JOIN n ON o.c_custkey = n.c_custkey")
+def upsert_changed_customers(spark, d):
+    rows = table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    new = rows.where("c_custkey % 5 <> 0").withColumn("c_acctbal", F.when(F.col("c_custkey") % 2 == 0, F.col("c_acctbal")).otherwise(F.col("c_acctbal") + 1))
+    return upsert_changed(rows.where("c_custkey % 3 <> 0"), new, "c_custkey")
+
+
+@query("cascading_delete", "K07 J10", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal < 0)")
+def cascading_delete(spark, d):
+    gone = table(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
+    orders = table(spark, d, "orders").join(gone, "o_custkey", "left_semi").select(F.col("o_orderkey").alias("l_orderkey"))
+    return table(spark, d, "lineitem").join(orders, "l_orderkey", "left_anti").select("l_orderkey", "l_linenumber")
+
+
+@query("one_active", "K06 W04", "SELECT o_custkey, count(*) FILTER (o_orderstatus = 'P') AS active, count(*) FILTER (o_orderstatus = 'P') <= 1 AS holds FROM orders GROUP BY 1")
+def one_active(spark, d):
+    n = F.count_if(F.col("o_orderstatus") == "P")
+    return table(spark, d, "orders").groupBy("o_custkey").agg(n.alias("active"), (n <= 1).alias("holds"))
