@@ -217,7 +217,8 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, sc
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", "tokens"])
 
     meeting = scratch.keep(posts.select("doc_id").distinct(), "meeting")
-    sets = scratch.keep(docs.join(meeting, "doc_id", "left_semi").mapInArrow(packed, "doc_id long, tokens binary"), "sets")
+    # a merge join at every size: what is broadcast on small tables says nothing of large ones
+    sets = scratch.keep(docs.join(meeting.hint("merge"), "doc_id", "left_semi").mapInArrow(packed, "doc_id long, tokens binary"), "sets")
     scratch.release()
 
     # first partition: each document with the leader that it meets most often
@@ -227,14 +228,15 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, sc
     size = scratch.keep(led.groupBy("leader").agg(F.count("*").alias("c")), "led-sizes")
     buckets = max(1, led.count() // BLOCK)
     # leaders of few share a job with others; those of many have their documents in several jobs
-    several = F.col("c") >= BLOCK // 2
-    job = F.when(several, F.xxhash64("leader", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("c") / BLOCK)))).otherwise(F.pmod(F.xxhash64("leader"), F.lit(buckets)))
-    at = led.join(size, "leader").select("doc_id", "leader", job.alias("job"))
+    part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("c") / BLOCK))
+    led = scratch.keep(led.join(size, "leader").select("doc_id", "leader", "c", part.alias("part")), "chunks")
+    job = F.when(F.col("c") >= BLOCK // 2, F.xxhash64("leader", "part")).otherwise(F.pmod(F.xxhash64("leader"), F.lit(buckets)))
+    at = led.select("doc_id", "leader", job.alias("job"))
     at = scratch.keep(at.select("doc_id", "job").unionByName(at.select(F.col("leader").alias("doc_id"), "job").distinct()).distinct(), "jobs-1")
     pair = "a long, b long"
     first = sets.join(at, "doc_id").select("job", "doc_id", F.col("doc_id").alias("comp"), F.lit(0).alias("side"), "tokens")
     first = scratch.keep(first.groupBy("job").applyInPandas(_group_links(percent), pair), "links-1")
-    edges = first.unionByName(_across(scratch, both, posts, sets, first, percent))
+    edges = first.unionByName(_across(scratch, both, posts, sets, led, first, percent))
     joined = scratch.keep(components(scratch, edges, "link"), "joined")
     scratch.drop("sets")
     by_doc = named.dropDuplicates(["doc_id"]).join(joined.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("doc_id").alias("id"), F.coalesce("component", "rep").alias("component"))
@@ -242,26 +244,28 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, sc
     return slim.join(by_doc, slim["doc_id"] == by_doc["id"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _across(scratch: Scratch, both: DataFrame, posts: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Links between groups: a document of the smaller group against the parts of the larger that its tokens qualify for."""
+def _across(scratch: Scratch, both: DataFrame, posts: DataFrame, sets: DataFrame, led: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Links between groups: a document against the parts of later groups that its tokens qualify for, unless links already join them all."""
     linked = scratch.keep(components(scratch, found, "first"), "first")
     member = both.select("doc_id", "n", "inside", F.size("ranked").alias("shared"), F.transform("ranked", lambda x: F.hash(x["token"])).alias("ints"))
-    member = scratch.keep(member.join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component"), "member")
-    size = scratch.keep(member.groupBy("comp").agg(F.count("*").alias("c")), "group-sizes")
-    part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("c") / BLOCK))
-    member = scratch.keep(member.join(size, "comp").withColumn("part", part), "parted")
-    # the matrix: each part's sizes and the union of its members' shared tokens
+    member = member.join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(led, "doc_id", "left")
+    # parts are the chunks of the first partition, all of whose pairs have been compared, as have a leader's with all its own
+    member = member.withColumns({"comp": F.coalesce("component", "doc_id"), "g": F.coalesce("leader", "doc_id"), "gp": F.coalesce("part", F.lit(0))})
+    member = scratch.keep(member.drop("component", "leader", "c", "part"), "member")
+    # the matrix: each part's sizes, its components and the union of its members' shared tokens
     union = F.array_distinct(F.flatten(F.collect_list("ints")))
-    parts = scratch.keep(member.groupBy("comp", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("c").alias("gc"), union.alias("union")), "parts")
-    at = scratch.keep(posts.select("token", "doc_id").join(member.select("doc_id", "n", "comp", "part", "c"), "doc_id"), "placed")
-    rows = at.groupBy("token", "comp", "part").agg(F.max("c").alias("gc"), F.min("n").alias("lo"), F.max("n").alias("hi")).withColumnsRenamed({"comp": "g", "part": "gp"})
-    rows = scratch.keep(rows, "matrix")
-    smaller = F.struct("c", "comp") < F.struct(F.col("gc").alias("c"), F.col("g").alias("comp"))
+    ends = [F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("low"), F.max("comp").alias("high")]
+    parts = scratch.keep(member.groupBy("g", "gp").agg(F.min("n").alias("lo"), union.alias("union")), "parts")
+    at = scratch.keep(posts.select("token", "doc_id").join(member.select("doc_id", "n", "comp", "g", "gp"), "doc_id"), "placed")
+    rows = scratch.keep(at.groupBy("token", F.col("g").alias("og"), F.col("gp").alias("ogp")).agg(*ends), "matrix")
+    later = F.struct("g", "gp") < F.struct(F.col("og").alias("g"), F.col("ogp").alias("gp"))
     reach = (100 * F.col("n") >= percent * F.col("lo")) & (100 * F.col("hi") >= percent * F.col("n"))
-    asked = scratch.keep(at.join(rows, "token").where(smaller & reach).select("doc_id", "g", "gp").distinct(), "asked")
+    apart = (F.col("low") != F.col("comp")) | (F.col("high") != F.col("comp"))
+    asked = at.join(rows, "token").where(later & reach & apart).select("doc_id", F.col("og").alias("g"), F.col("ogp").alias("gp")).distinct()
+    asked = scratch.keep(asked, "asked")
     # what the document has outside the union it cannot share; a link leaves it only so much to miss
     own = member.select("doc_id", "n", "inside", "shared", "ints")
-    bound = asked.join(own, "doc_id").join(parts.withColumnsRenamed({"comp": "g", "part": "gp"}).drop("gc"), ["g", "gp"])
+    bound = asked.join(own, "doc_id").join(parts, ["g", "gp"])
     other = F.greatest(F.col("lo"), F.ceil(F.col("n") * percent / 100))
     spare = F.col("n") - F.ceil(percent * (F.col("n") + other) / (100 + percent))
     missing = F.size(F.array_except("ints", "union")) + F.col("inside") - F.col("shared")
@@ -272,7 +276,7 @@ def _across(scratch: Scratch, both: DataFrame, posts: DataFrame, sets: DataFrame
     several = F.col("asks") >= BLOCK // 4
     job = F.when(several, F.xxhash64("g", "gp", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("asks") / BLOCK)))).otherwise(F.pmod(F.xxhash64("g", "gp"), F.lit(buckets)))
     jobs = scratch.keep(opened.join(asks, ["g", "gp"]).select("doc_id", "g", "gp", job.alias("job")), "jobs-2")
-    opens = jobs.select("g", "gp", "job").distinct().join(member.select(F.col("comp").alias("g"), F.col("part").alias("gp"), "doc_id"), ["g", "gp"]).select("doc_id", "job")
+    opens = jobs.select("g", "gp", "job").distinct().join(member.select("g", "gp", "doc_id"), ["g", "gp"]).select("doc_id", "job")
     named = scratch.keep(jobs.select("doc_id", "job").unionByName(opens).distinct().join(member.select("doc_id", "comp"), "doc_id"), "named-2")
     rows = sets.join(named, "doc_id").select("job", "doc_id", "comp", F.lit(0).alias("side"), "tokens")
     return scratch.keep(rows.groupBy("job").applyInPandas(_group_links(percent), "a long, b long"), "links-2")
