@@ -2,8 +2,8 @@
 
 Fingerprints of a batch are counted, sorted and written as one immutable run; a new batch is merge-joined with the runs that are
 there, and runs are merged into one when there are too many. For repeated windows of words two such indexes are used: the first
-holds anchors, the smallest hash of a short run of words within each window, which equal windows share; the second holds the
-128-bit hashes of the words of those windows whose anchors occur twice, which settles each window for itself.
+holds anchors, the smallest hash of a short run of words within each window, which equal windows share; the second holds
+96-bit hashes of the words of those windows whose anchors occur twice, which settles each window for itself.
 """
 
 from __future__ import annotations
@@ -132,7 +132,7 @@ def _anchors(window: int, gram: int):
     return run
 
 
-STATE = "kind int, doc_id long, h long, place int, k1 long, k2 long, n_words long, n_removed long, kept_sha256 string, text string"
+STATE = "kind int, doc_id long, h long, place int, k1 long, k2 int, n_words long, n_removed long, kept_sha256 string, text string"
 
 
 def _sha(words: list[bytes]) -> str:
@@ -145,8 +145,8 @@ def _windows(window: int, gram: int, with_text: bool):
     def rows(batches: Iterator):
         from xxhash import xxh3_128_intdigest
 
-        rolling, low = Rolling(BASE), (1 << 64) - 1
-        signed = lambda x: x - (1 << 64) if x >> 63 else x
+        rolling = Rolling(BASE)
+        signed = lambda x, bits: x - (1 << bits) if x >> (bits - 1) else x
         for batch in batches:
             for doc, h, text, found, copy, first in zip(*(batch.column(c) for c in ("doc_id", "h", "text", "found", "copy", "first")), strict=True):
                 doc, h, text, copy, first = doc.as_py(), h.as_py(), text.as_py(), copy.as_py(), first.as_py()
@@ -170,12 +170,12 @@ def _windows(window: int, gram: int, with_text: bool):
                     joined = b" ".join(words)
                     for i in spots:
                         key = xxh3_128_intdigest(joined[ends[i - 1] if i else 0 : ends[i + window - 1] - 1])
-                        yield (1, doc, h, i, signed(key >> 64), signed(key & low), None, None, None, None), 1
+                        yield (1, doc, h, i, signed(key >> 64, 64), signed(key & 0xFFFFFFFF, 32), None, None, None, None), 1
 
     def run(batches):
         import pyarrow as pa
 
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         yield from _batches([x.split()[0] for x in STATE.split(", ")], kinds, rows(batches))
 
     return run
@@ -256,13 +256,14 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, g
     marked = copies.withColumn("id", F.struct(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), F.col("doc_id").isNull().alias("none"), "h")).select("id", F.lit(True).alias("copy"), "first")
     todo = scratch.keep(noted.join(marked, "id", "full"), "todo")
     keyed = rows.withColumn("id", F.struct(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), F.col("doc_id").isNull().alias("none"), "h"))
-    state = keyed.join(todo, "id", "left").select("doc_id", "h", "text", "found", F.coalesce("copy", F.lit(False)).alias("copy"), F.coalesce("first", F.lit(False)).alias("first"))
+    state = keyed.join(todo.hint("merge"), "id", "left").select("doc_id", "h", "text", "found", F.coalesce("copy", F.lit(False)).alias("copy"), F.coalesce("first", F.lit(False)).alias("first"))
     state = scratch.keep(state.mapInArrow(_windows(window, gram, with_text), STATE), "state", ["kind"])
     scratch.release()
 
     windows = state.where("kind = 1")
     settled = FingerprintIndex(scratch, "windows", ["k1", "k2"], max(2, batches))
     settled.add(windows.select("k1", "k2", F.lit(1).alias("n")))
+    scratch.release()
     spots = windows.select("doc_id", "h", "place", "k1", "k2").join(settled.repeated(), ["k1", "k2"]).groupBy("doc_id", "h").agg(F.collect_set("place").alias("spots"))
     spots = scratch.keep(spots, "spots")
     scratch.release()
