@@ -67,7 +67,7 @@ def markdown_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, line, cells) of pipe tables in texts: lines between two pipes that are not the rule below the header."""
     rows = docs.select(key, F.posexplode(F.split("text", "\n")).alias("line", "s")).withColumn("s", F.trim("s"))
     table_line = F.col("s").rlike(r"^\|.*\|$") & ~F.col("s").rlike(r"^\|[\s:|-]+\|$")
-    cells = F.transform(F.split(F.expr("substring(s, 2, length(s) - 2)"), r"\|"), F.trim)
+    cells = F.transform(F.split(F.expr("substring(s, 2, length(s) - 2)"), r"\|"), lambda x: F.trim(x))
     return rows.where(table_line).select(key, "line", cells.alias("cells"))
 
 
