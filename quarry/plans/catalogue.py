@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.operators import evaluation, graph, language, relational, retrieval, statistics, temporal, writes  # noqa: F401
+from quarry.operators import alignment, evaluation, graph, language, relational, retrieval, statistics, temporal, writes  # noqa: F401
 from quarry.functions import text  # noqa: F401
 from quarry.sources import readers  # noqa: F401
 from quarry.streaming import folds  # noqa: F401
