@@ -111,21 +111,6 @@ class Rolling:
         return mix64((sums[k:] - sums[:-k]) * self.down[: n - k + 1])
 
 
-def slices(batch, limit: int = 1 << 22):
-    """Row ranges of an Arrow batch holding about limit bytes of text each, one row at least."""
-    size, at = 0, 0
-    lengths = batch.column("text").cast("binary")
-    import pyarrow.compute as pc
-
-    for i, n in enumerate(pc.fill_null(pc.binary_length(lengths), 0).to_pylist()):
-        if i > at and size + n > limit:
-            yield batch.slice(at, i - at)
-            size, at = 0, i
-        size += n
-    if batch.num_rows > at:
-        yield batch.slice(at)
-
-
 def components(scratch: Scratch, edges: DataFrame, name: str, rounds: int = 40) -> DataFrame:
     """(node, component): the smallest node reachable over the edges (a, b).
 
