@@ -2,20 +2,23 @@
 
 Word, symbol, line and repetition figures are made for each document; approx_percentile's mergeable summaries give each language
 and source the quartiles of its own documents, and a document is rejected by a figure that lies far outside its group's fence.
+A sketch of all documents stands in where a group has too few documents, or no spread of its own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import SPACE_CHARS, Scratch, table, words_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-#: Figures that the fences judge, with the least distance above the upper quartile that counts as odd: a group whose documents
-#: are all alike has no spread, and a fence at the quartile itself would reject its better half.
-RATES = {"symbol_rate": 0.1, "dup_line_rate": 0.3, "word_length": 4.0}
+RATES = ["symbol_rate", "dup_line_rate", "word_length"]
+#: A group with fewer documents is judged by the sketch of all: its own quartiles would be those of a handful.
+LEAST = 30
+#: So many symbols or repeated lines of a document are never counted: one or two are no rate, and most groups' fences are at 0.
+SLACK = 2
 FENCE = 3.0
 
 
@@ -55,12 +58,21 @@ def base_figures(docs: DataFrame) -> DataFrame:
     )
 
 
+def limit(c: str, fence: float) -> Column:
+    """The fence of figure c, from a group's quartiles c_q and those of all documents, c_all; null where word lengths show no spread."""
+    own, pooled, few = F.col(f"{c}_q"), F.col(f"{c}_all"), F.col("n") < LEAST
+    upper = F.when(few, pooled[1]).otherwise(own[1])
+    spread = F.when(few | (own[1] <= own[0]), pooled[1] - pooled[0]).otherwise(own[1] - own[0])
+    return F.when((spread > 0) | F.lit(c != "word_length"), upper + fence * spread)
+
+
 def judge(spark: SparkSession, docs: DataFrame, fence: float = FENCE, scratch: Scratch | None = None) -> DataFrame:
     """Per document: doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
     kept is false where base_failed is, and where a rate lies above its group's upper quartile by more than fence times the
-    quartiles' distance and by more than the floor in RATES. A group's sketch holds those of its documents that pass the base
-    rules; null languages and sources form groups of their own. Null and empty texts have no words and fail the base rules.
+    quartiles' distance, SLACK symbols and SLACK repeated lines set aside. A group's sketch holds those of its documents that
+    pass the base rules. The quartiles are those of all groups together for a group of fewer than LEAST documents, the distance
+    also where the group's own is 0; word lengths are not judged where that is 0 too. Null languages and sources form groups of their own. Null and empty texts have no words and fail the base rules.
     Equal rows get equal verdicts; an empty table gives no rows; other columns of docs play no part.
     """
     scratch = scratch or Scratch(spark, "rules")
@@ -74,10 +86,17 @@ def judge(spark: SparkSession, docs: DataFrame, fence: float = FENCE, scratch: S
     figures = scratch.keep(figures, "figures")
     group = F.struct(F.col("lang").isNull().alias("no_lang"), F.coalesce("lang", F.lit("")).alias("lang"), F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source"))
     figures = figures.withColumn("grp", group)
-    quartiles = figures.where("NOT base_failed").groupBy("grp").agg(*[F.percentile_approx(c, [0.25, 0.75], 1000).alias(f"{c}_q") for c in RATES])
-    above = [F.col(c) > F.col(f"{c}_q")[1] + F.greatest(F.lit(least), fence * (F.col(f"{c}_q")[1] - F.col(f"{c}_q")[0])) for c, least in RATES.items()]
-    odd = F.coalesce(F.greatest(*[x.cast("int") for x in above]), F.lit(0)) > 0
-    limits = scratch.keep(quartiles, "limits")
+    passed = figures.where("NOT base_failed")
+    sketch = [F.percentile_approx(c, [0.25, 0.75], 1000).alias(f"{c}_q") for c in RATES]
+    pooled = passed.agg(*sketch)
+    quartiles = passed.groupBy("grp").agg(F.count("*").alias("n"), *sketch).crossJoin(F.broadcast(pooled.toDF(*[f"{c}_all" for c in RATES])))
+    limits = scratch.keep(quartiles.select("grp", *[limit(c, fence).alias(f"{c}_limit") for c in RATES]), "limits")
+    above = [
+        (F.col("n_symbols") - SLACK) / F.greatest("word_chars", F.lit(1)) > F.col("symbol_rate_limit"),
+        (F.col("n_dup_lines") - SLACK) / F.greatest("n_lines", F.lit(1)) > F.col("dup_line_rate_limit"),
+        F.col("word_length") > F.col("word_length_limit"),
+    ]
+    odd = F.greatest(*[F.coalesce(x, F.lit(False)).cast("int") for x in above]) > 0
     return figures.join(limits, "grp", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~odd).alias("kept"), "lang", "source"
     )

@@ -240,6 +240,27 @@ def test_quality_rules_keep_good(spark, sf_dir, docs, none):
     assert quality_rules.judge(spark, none).count() == 0
 
 
+def test_quality_rules_reject_bad(spark):
+    at = "/root/testdata/sf0.01"
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{at}/labels.parquet").collect()}
+    rows = [r for r in quality_rules.judge(spark, spark.read.parquet(f"{at}/documents.parquet")).collect() if r["doc_id"] in labels and not r["base_failed"]]
+    share = lambda q: np.mean([r["kept"] for r in rows if labels[r["doc_id"]] == q])
+    assert share(1) >= 0.98 and share(0) <= 0.05
+
+
+def test_quality_rules_fences_follow_groups(spark):
+    """One rate is odd in a plain source and usual in a source of code; a longer word mean is odd only where words are alike."""
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choices("abcdefghij", k=n))
+    text = lambda n, symbols, size: " ".join([word(size) for _ in range(n)] + ["#" * symbols])
+    plain = [(i, text(100, 0, 5) + word(i % 7), "en", "plain", 1) for i in range(100)]
+    code = [(100 + i, text(100, 20 + i % 20, 5 + i % 5), "en", "code", 1) for i in range(100)]
+    asked = [(200, text(100, 30, 5), "en", "plain", 1), (201, text(100, 30, 5), "en", "code", 1), (202, text(100, 0, 8), "en", "plain", 1), (203, text(100, 20, 8), "en", "code", 1), (204, text(100, 2, 5), "en", "plain", 1)]
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.judge(spark, spark.createDataFrame(plain + code + asked, DOC)).collect()}
+    assert all(kept[i] for i in range(200))
+    assert [kept[i] for i in range(200, 205)] == [False, True, False, True, True]
+
+
 def test_classifier_held_out(spark, sf_dir):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     got = {r["doc_id"]: r for r in quality_classifier.op7(spark, "/root/testdata/sf0.01").collect()}
