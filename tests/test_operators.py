@@ -131,3 +131,37 @@ def test_gutenberg_comments_logs_jsonl(spark, tmp_path):
     assert rows(log) == [("2024-01-01T00:00:00Z", "WARN", "db.pool", "slow id=7 ms=12", {"id": "7", "ms": "12"})]
     readers.write_jsonl(spark.createDataFrame([(1, "a")], "k long, v string"), str(tmp_path / "j"))
     assert rows(readers.read_jsonl(spark, str(tmp_path / "j"), "k long, v string")) == [(1, "a")]
+
+
+def pairs_of(spark, sf_dir, least):
+    return [(r["a"], r["b"]) for r in graph.copurchase(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), least).collect()]
+
+
+def test_core_numbers_whole(spark, sf_dir):
+    near = {}
+    for a, b in pairs_of(spark, sf_dir, 2):
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want, k = {}, 0
+    while near:
+        x = min(near, key=lambda n: len(near[n]))
+        k = max(k, len(near[x]))
+        want[x] = k
+        for y in near.pop(x):
+            near[y].discard(x)
+    assert max(want.values()) > 12
+    assert dict(rows(graph.core_numbers(spark, sf_dir))) == want
+
+
+def test_components_whole(spark, sf_dir):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs_of(spark, sf_dir, 2):
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    assert dict(rows(graph.components_all(spark, sf_dir))) == {x: find(x) for x in list(root)}
