@@ -38,11 +38,32 @@ ALLEN = [("equals", "s1 = s2 AND e1 = e2"), ("before", "e1 < s2"), ("meets", "e1
 _ALLEN = "CASE " + " ".join(f"WHEN {c} THEN '{n}'" for n, c in ALLEN) + " END"
 
 
+_ALLEN_SQL = f"WITH {_IV}, p AS (SELECT x.s AS s1, x.e AS e1, y.s AS s2, y.e AS e2 FROM iv x JOIN iv y ON x.user_id = y.user_id AND x.id <> y.id) SELECT {_ALLEN} AS relation, count(*) AS n FROM p GROUP BY 1"
+
+
 @query("allen_matrix", "J15", f"WITH {_IV}, p AS (SELECT x.s AS s1, x.e AS e1, y.s AS s2, y.e AS e2 FROM iv x JOIN iv y ON x.user_id = y.user_id AND x.id <> y.id WHERE x.user_id % 5 = 0) SELECT {_ALLEN} AS relation, count(*) AS n FROM p GROUP BY 1")
 def allen_matrix(spark, d):
-    iv = intervals(table(spark, d, "events").where("user_id % 5 = 0"))
-    a, b = iv.select("user_id", F.col("id").alias("a"), F.col("s").alias("s1"), F.col("e").alias("e1")), iv.select("user_id", F.col("id").alias("b"), F.col("s").alias("s2"), F.col("e").alias("e2"))
-    return a.join(b, "user_id").where("a <> b").groupBy(F.expr(_ALLEN).alias("relation")).agg(F.count("*").alias("n"))
+    return allen(intervals(table(spark, d, "events").where("user_id % 5 = 0")), 6 * 3600)
+
+
+@query("allen_matrix_all", "J15", _ALLEN_SQL)
+def allen_matrix_all(spark, d):
+    """Allen's relations over all users; allen_matrix keeps the users of its SQL."""
+    return allen(intervals(table(spark, d, "events")), 6 * 3600)
+
+
+def allen(iv: DataFrame, bin_seconds: int) -> DataFrame:
+    """(relation, n) over the ordered pairs of a user's intervals. Pairs apart are counted by running sums over starts and ends; only those that touch are joined, in the bin where the later one starts."""
+    marks = iv.select("user_id", F.col("e").alias("t"), F.lit(1).alias("ends")).unionByName(iv.select("user_id", F.col("s").alias("t"), F.lit(0).alias("ends")))
+    # starts come first among equal times: an end at a start meets it and is not before it
+    ended = F.sum("ends").over(Window.partitionBy("user_id").orderBy("t", "ends").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    apart = marks.withColumn("n", ended).where("ends = 0").agg(F.sum("n").alias("n"))
+    apart = apart.select(F.explode(F.array(F.lit("before"), F.lit("after"))).alias("relation"), "n").where("n > 0")
+    number = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / bin_seconds)
+    binned = iv.withColumn("bin", F.explode(F.sequence(number("s"), number("e"))))
+    side = lambda i, k: binned.select("user_id", "bin", F.col("id").alias(i), F.col("s").alias(f"s{k}"), F.col("e").alias(f"e{k}"))
+    touch = side("a", 1).join(side("b", 2), ["user_id", "bin"]).where((F.col("a") != F.col("b")) & (F.col("s1") <= F.col("e2")) & (F.col("s2") <= F.col("e1")) & (F.col("bin") == F.greatest(number("s1"), number("s2"))))
+    return touch.groupBy(F.expr(_ALLEN).alias("relation")).agg(F.count("*").alias("n")).unionByName(apart)
 
 
 @query("beliefs_as_of", "J16 F13", "WITH v AS (SELECT user_id, event_id, event_type, ts AS recorded, lead(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS superseded FROM events) SELECT user_id, event_type, event_id FROM v WHERE recorded <= TIMESTAMP '2024-01-15' AND (superseded IS NULL OR superseded > TIMESTAMP '2024-01-15')")
