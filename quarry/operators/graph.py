@@ -156,13 +156,17 @@ def pagerank_fixed(spark, d):
     return walk(e, nodes.withColumn("p", F.lit(1.0 / n)), 6, uniform=True).select("node", F.round("p", 6).alias("p"))
 
 
-def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """(node, level): least number of edges (src, dst) from any seed, at most depth: a frontier joined once a level."""
+def reach(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
+    """(node, level): least number of edges (src, dst) from any seed, at most depth if given: a frontier joined once a level until it is empty."""
     seen = cut(seeds.select("node", F.lit(0).alias("level")))
     front = seen
-    for level in range(1, depth + 1):
+    level = 0
+    while depth is None or level < depth:
+        level += 1
         step = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
         front = cut(step.select("node", F.lit(level).alias("level")))
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen
 
@@ -225,8 +229,8 @@ def core_numbers(spark, d):
     return cores(copurchase(table(spark, d, "lineitem"), 2))
 
 
-def _heat(n: int) -> str:
-    out = [f"WITH {_CO}, s AS (SELECT a AS src, b AS dst, w::DOUBLE AS w FROM co WHERE a <= 200 AND b <= 200 UNION ALL SELECT b, a, w FROM co WHERE a <= 200 AND b <= 200), g AS (SELECT src AS node, sum(w) AS deg FROM s GROUP BY 1), p0 AS (SELECT node, CASE WHEN node <= 5 THEN 1.0 ELSE 0.0 END::DOUBLE AS h, deg FROM g)"]
+def _heat(n: int, within: str = " WHERE a <= 200 AND b <= 200") -> str:
+    out = [f"WITH {_CO}, s AS (SELECT a AS src, b AS dst, w::DOUBLE AS w FROM co{within} UNION ALL SELECT b, a, w FROM co{within}), g AS (SELECT src AS node, sum(w) AS deg FROM s GROUP BY 1), p0 AS (SELECT node, CASE WHEN node <= 5 THEN 1.0 ELSE 0.0 END::DOUBLE AS h, deg FROM g)"]
     for i in range(1, n + 1):
         out.append(f"p{i} AS MATERIALIZED (SELECT x.node, x.h + 0.2 * (sum(s.w * y.h) / x.deg - x.h) AS h, x.deg FROM p{i - 1} x JOIN s ON s.src = x.node JOIN p{i - 1} y ON y.node = s.dst GROUP BY x.node, x.h, x.deg)")
     return ", ".join(out) + f" SELECT node, round(h, 6) AS heat FROM p{n}"
@@ -234,7 +238,17 @@ def _heat(n: int) -> str:
 
 @query("heat_diffusion", "G14 G17", _heat(4))
 def heat_diffusion(spark, d):
-    e = copurchase(table(spark, d, "lineitem")).where("a <= 200 AND b <= 200")
+    return heat(copurchase(table(spark, d, "lineitem")).where("a <= 200 AND b <= 200"))
+
+
+@query("heat_diffusion_all", "G14 G17", _heat(4, ""))
+def heat_diffusion_all(spark, d):
+    """Heat over the whole graph; heat_diffusion keeps the id prefix of its SQL."""
+    return heat(copurchase(table(spark, d, "lineitem")))
+
+
+def heat(e: DataFrame) -> DataFrame:
+    """(node, heat) after four steps from the nodes up to 5 over (a, b, w)."""
     s = cut(ends(e).select(F.col("node").alias("src"), F.col("other").alias("dst"), F.col("w").cast("double").alias("w")))
     at = s.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("deg")).select("node", F.when(F.col("node") <= 5, 1.0).otherwise(0.0).alias("h"), "deg")
     for i in range(4):
@@ -329,7 +343,23 @@ def region_max_flow(spark, d):
 r AS (SELECT DISTINCT src AS start, src AS node, 0 AS step FROM s UNION ALL SELECT start, dst, step + 1 FROM r JOIN k ON node = src AND i = (('0x' || substr(sha256(start || ':' || step), 1, 8))::BIGINT) % n WHERE step < 3) SELECT start, step, node FROM r""",
 )
 def typed_walks(spark, d):
-    s = ends(copurchase(table(spark, d, "lineitem")).where("a <= 300 AND b <= 300"))
+    return walks(copurchase(table(spark, d, "lineitem")).where("a <= 300 AND b <= 300"))
+
+
+@query(
+    "typed_walks_all",
+    "G19 G22",
+    f"""WITH RECURSIVE {_CO}, s AS (SELECT a AS src, b AS dst FROM co UNION ALL SELECT b, a FROM co), k AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS i, count(*) OVER (PARTITION BY src) AS n FROM s),
+r AS (SELECT DISTINCT src AS start, src AS node, 0 AS step FROM s UNION ALL SELECT start, dst, step + 1 FROM r JOIN k ON node = src AND i = (('0x' || substr(sha256(start || ':' || step), 1, 8))::BIGINT) % n WHERE step < 3) SELECT start, step, node FROM r""",
+)
+def typed_walks_all(spark, d):
+    """Walks from every node of the whole graph; typed_walks keeps the id prefix of its SQL."""
+    return walks(copurchase(table(spark, d, "lineitem")))
+
+
+def walks(edges: DataFrame) -> DataFrame:
+    """(start, step, node): three steps from every node, each to a neighbour drawn by hash."""
+    s = ends(edges)
     near = cut(s.groupBy("node").agg(F.array_sort(F.collect_list("other")).alias("near")))
     at = near.select(F.col("node").alias("start"), F.lit(0).alias("step"), "node")
     out = at

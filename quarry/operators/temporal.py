@@ -321,3 +321,12 @@ def topological_levels(spark, d):
 
     e = table(spark, d, "part").where("p_partkey > 1 AND p_partkey <= 200").select(F.expr("p_partkey div 2").alias("src"), F.col("p_partkey").alias("dst"))
     return reach(e, spark.range(1, 2).toDF("node"), 8)
+
+
+@query("topological_levels_all", "L12", "WITH RECURSIVE e AS (SELECT p_partkey AS node, p_partkey // 2 AS needs FROM part WHERE p_partkey > 1), r AS (SELECT 1::BIGINT AS node, 0 AS level UNION ALL SELECT e.node, level + 1 FROM r JOIN e ON e.needs = r.node) SELECT node, level FROM r")
+def topological_levels_all(spark, d):
+    """Levels of every part; topological_levels keeps the id prefix of its SQL."""
+    from quarry.operators.graph import reach
+
+    e = table(spark, d, "part").where("p_partkey > 1").select(F.expr("p_partkey div 2").alias("src"), F.col("p_partkey").alias("dst"))
+    return reach(e, spark.range(1, 2).toDF("node"))
