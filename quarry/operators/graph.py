@@ -142,7 +142,7 @@ def _rounds(uniform: bool, n: int) -> str:
     return ", ".join(out) + f" SELECT node, round(p, 6) AS p FROM p{n}"
 
 
-@query("random_walk_with_restart", "G04 G23 P01 P02", _rounds(False, 6))
+@query("random_walk_with_restart", "G04 P01 P02", _rounds(False, 6))
 def random_walk_with_restart(spark, d):
     restart = spark.createDataFrame([("c1", 0.5), ("c2", 0.5)], "node string, p double")
     return walk(trade(spark, d), restart, 6).select("node", F.round("p", 6).alias("p"))
@@ -236,12 +236,12 @@ def _heat(n: int, within: str = " WHERE a <= 200 AND b <= 200") -> str:
     return ", ".join(out) + f" SELECT node, round(h, 6) AS heat FROM p{n}"
 
 
-@query("heat_diffusion", "G14 G17", _heat(4))
+@query("heat_diffusion", "G14", _heat(4))
 def heat_diffusion(spark, d):
     return heat(copurchase(table(spark, d, "lineitem")).where("a <= 200 AND b <= 200"))
 
 
-@query("heat_diffusion_all", "G14 G17", _heat(4, ""))
+@query("heat_diffusion_all", "G14", _heat(4, ""))
 def heat_diffusion_all(spark, d):
     """Heat over the whole graph; heat_diffusion keeps the id prefix of its SQL."""
     return heat(copurchase(table(spark, d, "lineitem")))
@@ -338,7 +338,7 @@ def region_max_flow(spark, d):
 
 @query(
     "typed_walks",
-    "G19 G22",
+    "",
     f"""WITH RECURSIVE {_CO}, s AS (SELECT a AS src, b AS dst FROM co WHERE a <= 300 AND b <= 300 UNION ALL SELECT b, a FROM co WHERE a <= 300 AND b <= 300), k AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS i, count(*) OVER (PARTITION BY src) AS n FROM s),
 r AS (SELECT DISTINCT src AS start, src AS node, 0 AS step FROM s UNION ALL SELECT start, dst, step + 1 FROM r JOIN k ON node = src AND i = (('0x' || substr(sha256(start || ':' || step), 1, 8))::BIGINT) % n WHERE step < 3) SELECT start, step, node FROM r""",
 )
@@ -348,7 +348,7 @@ def typed_walks(spark, d):
 
 @query(
     "typed_walks_all",
-    "G19 G22",
+    "",
     f"""WITH RECURSIVE {_CO}, s AS (SELECT a AS src, b AS dst FROM co UNION ALL SELECT b, a FROM co), k AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS i, count(*) OVER (PARTITION BY src) AS n FROM s),
 r AS (SELECT DISTINCT src AS start, src AS node, 0 AS step FROM s UNION ALL SELECT start, dst, step + 1 FROM r JOIN k ON node = src AND i = (('0x' || substr(sha256(start || ':' || step), 1, 8))::BIGINT) % n WHERE step < 3) SELECT start, step, node FROM r""",
 )

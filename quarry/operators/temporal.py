@@ -315,7 +315,7 @@ def var_forecast(spark, d):
     return rows.groupBy("all").applyInPandas(fit, "event_type string, step int, forecast double")
 
 
-@query("topological_levels", "L12", "WITH RECURSIVE e AS (SELECT p_partkey AS node, p_partkey // 2 AS needs FROM part WHERE p_partkey > 1 AND p_partkey <= 200), r AS (SELECT 1::BIGINT AS node, 0 AS level UNION ALL SELECT e.node, level + 1 FROM r JOIN e ON e.needs = r.node) SELECT node, level FROM r")
+@query("topological_levels", "", "WITH RECURSIVE e AS (SELECT p_partkey AS node, p_partkey // 2 AS needs FROM part WHERE p_partkey > 1 AND p_partkey <= 200), r AS (SELECT 1::BIGINT AS node, 0 AS level UNION ALL SELECT e.node, level + 1 FROM r JOIN e ON e.needs = r.node) SELECT node, level FROM r")
 def topological_levels(spark, d):
     from quarry.operators.graph import reach
 
@@ -323,7 +323,7 @@ def topological_levels(spark, d):
     return reach(e, spark.range(1, 2).toDF("node"), 8)
 
 
-@query("topological_levels_all", "L12", "WITH RECURSIVE e AS (SELECT p_partkey AS node, p_partkey // 2 AS needs FROM part WHERE p_partkey > 1), r AS (SELECT 1::BIGINT AS node, 0 AS level UNION ALL SELECT e.node, level + 1 FROM r JOIN e ON e.needs = r.node) SELECT node, level FROM r")
+@query("topological_levels_all", "", "WITH RECURSIVE e AS (SELECT p_partkey AS node, p_partkey // 2 AS needs FROM part WHERE p_partkey > 1), r AS (SELECT 1::BIGINT AS node, 0 AS level UNION ALL SELECT e.node, level + 1 FROM r JOIN e ON e.needs = r.node) SELECT node, level FROM r")
 def topological_levels_all(spark, d):
     """Levels of every part; topological_levels keeps the id prefix of its SQL."""
     from quarry.operators.graph import reach
