@@ -1,16 +1,20 @@
 """N-gram Jaccard join by a token-group matrix.
 
-Equal shingle sets are one node. Candidates come from prefixes: two sets as similar as asked for share a token among the first
-n - ceil(t n) + 1 of each, in any one order of all tokens. The order puts tokens that no other document has first and frequent
-ones last, so documents that share a passage and little else seldom meet. Each document is partitioned to the leader it meets most
-often, and what is linked there becomes a group, cut into parts of about BLOCK members. A part's row of the matrix is the union of
-its members' tokens. A document meets a part of another group through a token of that union; the document's tokens outside the
-union bound the overlap, and only parts that could still hold a link are opened and compared. Links are exact.
+Equal shingle sets are one node. Two sets as similar as asked for share a token among the first n - ceil(t n) + 1 of each, in any
+one order of all tokens; the order puts tokens that no other set has first and frequent ones last. Of the tokens that two sets
+share, the first leaves each only so many tokens after it, which must hold the whole overlap.
+
+Each set is partitioned to the leader of its own size class that it meets most often; a leader's sets form a group, cut into parts
+of about BLOCK. What is similar within a part is linked there. A part's rows of the matrix say, per token, which sizes and
+remainders its members have; parts meet parts, never single sets, in rows that sizes, remainders and links found so far allow. The
+parts' token unions bound the overlap of those that are left, and a qualifying part is opened against the others of its row in
+jobs of bounded size, where each set is held against the union of the other side before pairs are compared. Links are exact.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,47 +50,58 @@ def _region(percent: int) -> int:
     return int(1.5 * (100 - percent) / 100 * 2**64)
 
 
-def _sets(k: int, percent: int):
-    """Rows to (doc_id, n, digest, inside): set size, digest of the set, tokens below the region's border."""
+def _heads(k: int, percent: int):
+    """Rows to (doc_id, n, digest, inside, head): set size, digest of the set, how many tokens lie in the region, and these; where they are fewer than the prefix, the next ones by hash too."""
 
     def run(batches: Iterator):
         import pyarrow as pa
 
         rolling, border = Rolling(BASE), np.uint64(_region(percent))
+        names = ["doc_id", "n", "digest", "inside", "head"]
+
+        def made(rows: list[tuple], heads: list[np.ndarray]):
+            ends = np.cumsum([0] + [len(x) for x in heads]).astype(np.int32)
+            columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.int64()), strict=True)]
+            return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(heads).view(np.int64)))], names=names)
+
         for batch in batches:
-            n, digests, inside = [], [], []
-            for x in batch.column("text"):
+            rows, heads, size = [], [], 0
+            for doc, x in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 s = shingles(x.as_py(), k, rolling)
-                n.append(len(s))
-                digests.append(_digest(s) if len(s) else None)
-                inside.append(int(np.searchsorted(s, border)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(inside, pa.int64())], names=["doc_id", "n", "digest", "inside"])
+                inside = int(np.searchsorted(s, border))
+                rows.append((doc, len(s), _digest(s) if len(s) else None, inside))
+                heads.append(s[: max(inside, prefix_length(len(s), percent))] if len(s) else s)
+                size += len(heads[-1])
+                if size > 1 << 20:
+                    yield made(rows, heads)
+                    rows, heads, size = [], [], 0
+            if rows:
+                yield made(rows, heads)
 
     return run
 
 
-def _tokens(k: int, percent: int):
-    """Rows to (token, doc_id): the tokens of the region, and where these are fewer than the prefix, the next ones by hash."""
+def _packed(k: int):
+    """Rows (node, digest, text) to (node, tokens), the whole set, where the text is the one that the node stands for."""
 
     def run(batches: Iterator):
         import pyarrow as pa
 
-        rolling, border = Rolling(BASE), np.uint64(_region(percent))
+        rolling = Rolling(BASE)
         for batch in batches:
-            held, owners, size = [], [], 0
-            for doc, x in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+            nodes, found, size = [], [], 0
+            for node, digest, x in zip(batch.column("node").to_pylist(), batch.column("digest").to_pylist(), batch.column("text"), strict=True):
                 s = shingles(x.as_py(), k, rolling)
-                if not len(s) or doc is None:
+                if _digest(s) != digest:
                     continue
-                s = s[: max(int(np.searchsorted(s, border)), prefix_length(len(s), percent))]
-                held.append(s)
-                owners.append(np.full(len(s), doc, np.int64))
+                nodes.append(node)
+                found.append(s.tobytes())
                 size += len(s)
                 if size > 1 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64)), pa.array(np.concatenate(owners))], names=["token", "doc_id"])
-                    held, owners, size = [], [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64)), pa.array(np.concatenate(owners))], names=["token", "doc_id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(found, pa.binary())], names=["node", "tokens"])
+                    nodes, found, size = [], [], 0
+            if nodes:
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(found, pa.binary())], names=["node", "tokens"])
 
     return run
 
@@ -158,128 +173,167 @@ def block_links(ids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], side
     return out
 
 
-def _group_links(percent: int):
+def _job_links(percent: int):
+    """A job's rows (unit, node, comp, side, tokens) to its links: unit by unit, within it or between its two sides."""
+
     def run(pdf):
         import pandas as pd
 
-        pdf = pdf.drop_duplicates("doc_id")
-        sets = [np.frombuffer(x, np.uint64) for x in pdf["tokens"]]
-        found = block_links(pdf["doc_id"].to_numpy(), pdf["comp"].to_numpy(), sets, pdf["side"].to_numpy(), percent)
+        found = []
+        for _, part in pdf.groupby("unit", sort=False):
+            part = part.drop_duplicates(["node", "side"])
+            if len(part) > 1:
+                sets = [np.frombuffer(x, np.uint64) for x in part["tokens"]]
+                found += block_links(part["node"].to_numpy(), part["comp"].to_numpy(), sets, part["side"].to_numpy(), percent)
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
     return run
 
 
+def _ceil(part, whole):
+    return F.ceil(part / whole)
+
+
 def join(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, the smallest doc_id that links reach, its own included.
+    """Per row: doc_id, n_shingles, component_id, the smallest doc_id that links reach, its own included.
 
-    Words are lower-cased in A-Z only. Documents without words are linked with nothing; a null doc_id has no component; rows that
-    repeat a doc_id are one node; an empty table gives no rows; other columns play no part. Two sets link when
-    100 * |A n B| >= percent * |A u B|; no link between different sets is lost, and equal sets are linked through their digest.
+    Words are lower-cased in A-Z only. Rows without words are linked with nothing; a null doc_id has no component; rows that repeat
+    a doc_id are one document, linked with what any of its texts is linked with; an empty table gives no rows; other columns play
+    no part. Two sets link when 100 * |A n B| >= percent * |A u B|; no link between different sets is lost, and equal sets are
+    linked through their digest.
     """
     scratch = scratch or Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    slim = scratch.keep(docs.mapInArrow(_sets(k, percent), "doc_id long, n long, digest binary, inside long"), "slim")
-    reps = scratch.keep(slim.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep")), "reps")
-    named = scratch.keep(slim.where("digest IS NOT NULL AND doc_id IS NOT NULL").join(reps, "digest").select("doc_id", "rep", "n", "inside"), "named")
+    slim = docs.mapInArrow(_heads(k, percent), "doc_id long, n long, digest binary, inside long, head array<long>")
+    slim = scratch.keep(slim.withColumn("row", F.monotonically_increasing_id()), "slim")
+    real = slim.where("digest IS NOT NULL AND doc_id IS NOT NULL")
+    # a node for each different set, named by one of its rows
+    nodes = scratch.keep(real.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("rep")), "nodes")
+    own = scratch.keep(real.select(F.col("row").alias("node"), "n", "inside", "head").join(nodes.select("node").hint("merge"), "node", "left_semi"), "own")
+    scratch.release()
 
-    # how many documents have each token of the region; only tokens of two or more can be shared
-    tokens = docs.mapInArrow(_tokens(k, percent), "token long, doc_id long")
+    # how many sets have each token; only tokens of two or more can be shared
+    tokens = own.select("node", F.explode("head").alias("token"))
     counts = scratch.keep(tokens.groupBy("token").agg(F.least(F.count("*"), F.lit(FREQUENT)).cast("int").alias("df")).where("df > 1"), "counts")
     scratch.release()
-    shared = scratch.keep(tokens.join(counts, "token").select("token", "doc_id", "df"), "shared")
+    shared = scratch.keep(tokens.join(counts, "token").select("token", "node", "df"), "shared")
     scratch.drop("counts")
     scratch.release()
 
-    # the prefix in the order (region first, frequency, hash); tokens of one document alone come first and match nothing
+    # the prefix in the order (region first, frequency, hash); tokens of one set alone come first and match nothing
     border = _region(percent)
     in_region = (F.col("token") >= 0) & (F.col("token") < border) if border < 1 << 63 else (F.col("token") >= 0) | (F.col("token") < border - (1 << 64))
-    own = named.where("doc_id = rep").dropDuplicates(["doc_id"])
-    held = shared.groupBy("doc_id").agg(
+    held = shared.groupBy("node").agg(
         F.array_sort(F.collect_set(F.when(in_region, F.struct("df", "token")))).alias("ranked"), F.collect_set(F.when(~in_region, F.col("token"))).alias("beyond")
     )
     length = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
     alone = F.col("inside") - F.size("ranked")
     taken = F.slice("ranked", F.lit(1), F.greatest(length - alone, F.lit(0)).cast("int"))
-    both = scratch.keep(own.join(held, "doc_id").select("doc_id", "n", "inside", "ranked", F.concat(F.transform(taken, lambda x: x["token"]), "beyond").alias("prefix")), "both")
-    scratch.drop("shared")
-    posts = both.select("doc_id", "n", F.explode("prefix").alias("token"))
-    leaders = scratch.keep(posts.groupBy("token").agg(F.min(F.struct("doc_id", "n")).alias("l"), F.count("*").alias("m")).where("m > 1").select("token", F.col("l.doc_id").alias("leader"), F.col("l.n").alias("leader_n")), "leaders")
-    posts = scratch.keep(posts.join(leaders, "token"), "posts")
-
-    # the whole sets of the documents that meet any other
-    def packed(batches: Iterator):
-        import pyarrow as pa
-
-        rolling = Rolling(BASE)
-        for batch in batches:
-            found = [shingles(x.as_py(), k, rolling).tobytes() for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", "tokens"])
+    # rest: the tokens from this one on, at most; those beyond the region come after all within it
+    prefix = F.concat(
+        F.transform(taken, lambda x, i: F.struct(x["token"].alias("token"), (F.col("n") - alone - i).alias("rest"))),
+        F.transform("beyond", lambda x: F.struct(x.alias("token"), (F.col("n") - F.col("inside")).alias("rest"))),
+    )
+    both = own.select("node", "n", "inside").join(held, "node").select("node", "n", "inside", F.transform("ranked", lambda x: x["token"]).alias("region"), prefix.alias("prefix"))
+    both = scratch.keep(both, "both")
+    scratch.drop("shared", "own")
+    # sizes of one class are as near as a link needs
+    cls = F.floor(F.log(F.col("n")) / math.log(100 / percent)) if percent < 100 else F.col("n")
+    posts = both.select("node", "n", cls.cast("long").alias("cls"), F.inline("prefix"))
+    crowds = scratch.keep(posts.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token"), "crowds")
+    posts = scratch.keep(posts.join(crowds, "token"), "posts")
+    scratch.release()
 
-    meeting = scratch.keep(posts.select("doc_id").distinct(), "meeting")
-    # a merge join at every size: what is broadcast on small tables says nothing of large ones
-    sets = scratch.keep(docs.join(meeting.hint("merge"), "doc_id", "left_semi").mapInArrow(packed, "doc_id long, tokens binary"), "sets")
+    # the whole sets of those that meet any other; a merge join at every size: what is broadcast on small tables says nothing of large ones
+    meeting = scratch.keep(posts.select("node").distinct(), "meeting")
+    wanted = nodes.join(meeting, "node", "left_semi").select("node", "digest", F.col("rep").alias("doc_id"))
+    sets = docs.join(wanted.hint("merge"), "doc_id").select("node", "digest", "text").mapInArrow(_packed(k), "node long, tokens binary")
+    sets = scratch.keep(sets.dropDuplicates(["node"]), "sets")
     scratch.release()
 
-    # first partition: each document with the leader that it meets most often
-    fits = (100 * F.least("n", "leader_n") >= percent * F.greatest("n", "leader_n")) & (F.col("doc_id") != F.col("leader"))
-    met = posts.where(fits).groupBy("doc_id", "leader").agg(F.count("*").alias("c"))
-    led = scratch.keep(met.groupBy("doc_id").agg(F.max_by("leader", F.struct("c", -F.col("leader"))).alias("leader")), "led")
+    # the first partition: each set with the leader of its class that it meets most often
+    leaders = scratch.keep(posts.groupBy("token", "cls").agg(F.min("node").alias("leader")), "leaders")
+    met = posts.join(leaders, ["token", "cls"]).where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("c"))
+    led = scratch.keep(met.groupBy("node").agg(F.max_by("leader", F.struct("c", -F.col("leader"))).alias("leader")), "led")
     size = scratch.keep(led.groupBy("leader").agg(F.count("*").alias("c")), "led-sizes")
+    part = F.pmod(F.xxhash64("node"), _ceil(F.col("c"), BLOCK))
+    led = scratch.keep(led.join(size, "leader").select("node", F.col("leader").alias("g"), part.alias("gp"), "c"), "parts-1")
+    # small groups share a job, unit by unit; a leader visits each part of its own
     buckets = max(1, led.count() // BLOCK)
-    # leaders of few share a job with others; those of many have their documents in several jobs
-    part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("c") / BLOCK))
-    led = scratch.keep(led.join(size, "leader").select("doc_id", "leader", "c", part.alias("part")), "chunks")
-    job = F.when(F.col("c") >= BLOCK // 2, F.xxhash64("leader", "part")).otherwise(F.pmod(F.xxhash64("leader"), F.lit(buckets)))
-    at = led.select("doc_id", "leader", job.alias("job"))
-    at = scratch.keep(at.select("doc_id", "job").unionByName(at.select(F.col("leader").alias("doc_id"), "job").distinct()).distinct(), "jobs-1")
-    pair = "a long, b long"
-    first = sets.join(at, "doc_id").select("job", "doc_id", F.col("doc_id").alias("comp"), F.lit(0).alias("side"), "tokens")
-    first = scratch.keep(first.groupBy("job").applyInPandas(_group_links(percent), pair), "links-1")
-    edges = first.unionByName(_across(scratch, both, posts, sets, led, first, percent))
+    job = F.when(F.col("c") >= BLOCK // 2, F.xxhash64("g", "gp")).otherwise(F.pmod(F.xxhash64("g"), F.lit(buckets)))
+    at = led.select("node", "g", F.xxhash64("g", "gp").alias("unit"), job.alias("job"))
+    at = scratch.keep(at.select("node", "unit", "job").unionByName(at.select(F.col("g").alias("node"), "unit", "job").distinct()), "jobs-1")
+    rows = sets.join(at, "node").select("job", "unit", "node", F.col("node").alias("comp"), F.lit(0).alias("side"), "tokens")
+    first = scratch.keep(rows.groupBy("job").applyInPandas(_job_links(percent), "a long, b long"), "links-1")
+    scratch.drop("leaders", "led", "led-sizes", "jobs-1")
+    edges = first.unionByName(_across(scratch, both, posts, sets, led, first, percent)).unionByName(_same_id(scratch, real, nodes))
     joined = scratch.keep(components(scratch, edges, "link"), "joined")
-    scratch.drop("sets")
-    by_doc = named.dropDuplicates(["doc_id"]).join(joined.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("doc_id").alias("id"), F.coalesce("component", "rep").alias("component"))
-    by_doc = scratch.keep(by_doc, "by-doc")
-    return slim.join(by_doc, slim["doc_id"] == by_doc["id"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    scratch.drop("sets", "both", "posts", "member")
+    named = nodes.select("digest", "node", "rep").join(joined, "node", "left").select("digest", "rep", F.coalesce("component", "node").alias("c"))
+    named = scratch.keep(named, "named")
+    least = scratch.keep(named.groupBy("c").agg(F.min("rep").alias("component")), "least")
+    by_set = scratch.keep(named.join(least, "c").select("digest", "component"), "by-set")
+    # copies of one text may be a third of all rows: both sides are written tables, which lets Spark split the copies
+    answer = slim.select("doc_id", "n", "digest").join(by_set, "digest", "left")
+    return answer.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+
+
+def _same_id(scratch: Scratch, real: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links between the different sets of rows that repeat a doc_id."""
+    mark = F.xxhash64("digest")
+    several = scratch.keep(real.groupBy("doc_id").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).where("lo <> hi").select("doc_id"), "several")
+    rows = scratch.keep(real.select("doc_id", "digest").join(several, "doc_id").distinct().join(nodes.select("digest", "node"), "digest").select("doc_id", "node"), "several-nodes")
+    return rows.join(rows.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").where("node <> b").select(F.col("node").alias("a"), "b")
 
 
 def _across(scratch: Scratch, both: DataFrame, posts: DataFrame, sets: DataFrame, led: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Links between groups: a document against the parts of later groups that its tokens qualify for, unless links already join them all."""
+    """Links between parts: those parts that tokens, sizes, remainders and unions let qualify, unless links already join them all."""
     linked = scratch.keep(components(scratch, found, "first"), "first")
-    member = both.select("doc_id", "n", "inside", F.size("ranked").alias("shared"), F.transform("ranked", lambda x: F.hash(x["token"])).alias("ints"))
-    member = member.join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(led, "doc_id", "left")
-    # parts are the chunks of the first partition, all of whose pairs have been compared, as have a leader's with all its own
-    member = member.withColumns({"comp": F.coalesce("component", "doc_id"), "g": F.coalesce("leader", "doc_id"), "gp": F.coalesce("part", F.lit(0))})
-    member = scratch.keep(member.drop("component", "leader", "c", "part"), "member")
-    # the matrix: each part's sizes, its components and the union of its members' shared tokens
-    union = F.array_distinct(F.flatten(F.collect_list("ints")))
-    ends = [F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("low"), F.max("comp").alias("high")]
-    parts = scratch.keep(member.groupBy("g", "gp").agg(F.min("n").alias("lo"), union.alias("union")), "parts")
-    at = scratch.keep(posts.select("token", "doc_id").join(member.select("doc_id", "n", "comp", "g", "gp"), "doc_id"), "placed")
-    rows = scratch.keep(at.groupBy("token", F.col("g").alias("og"), F.col("gp").alias("ogp")).agg(*ends), "matrix")
-    later = F.struct("g", "gp") < F.struct(F.col("og").alias("g"), F.col("ogp").alias("gp"))
-    reach = (100 * F.col("n") >= percent * F.col("lo")) & (100 * F.col("hi") >= percent * F.col("n"))
-    apart = (F.col("low") != F.col("comp")) | (F.col("high") != F.col("comp"))
-    asked = at.join(rows, "token").where(later & reach & apart).select("doc_id", F.col("og").alias("g"), F.col("ogp").alias("gp")).distinct()
-    asked = scratch.keep(asked, "asked")
-    # what the document has outside the union it cannot share; a link leaves it only so much to miss
-    own = member.select("doc_id", "n", "inside", "shared", "ints")
-    bound = asked.join(own, "doc_id").join(parts, ["g", "gp"])
-    other = F.greatest(F.col("lo"), F.ceil(F.col("n") * percent / 100))
-    spare = F.col("n") - F.ceil(percent * (F.col("n") + other) / (100 + percent))
-    missing = F.size(F.array_except("ints", "union")) + F.col("inside") - F.col("shared")
-    opened = scratch.keep(bound.where(missing <= spare).select("doc_id", "g", "gp"), "opened")
+    member = both.select("node", "n", "inside").join(linked, "node", "left").join(led.drop("c"), "node", "left")
+    member = member.select("node", "n", "inside", F.coalesce("component", "node").alias("comp"), F.coalesce("g", "node").alias("g"), F.coalesce("gp", F.lit(-1)).alias("gp"))
+    member = scratch.keep(member, "member")
+    # the matrix: a part's sizes, longest remainder and components by token
+    spans = [F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rest").alias("rest"), F.min("comp").alias("low"), F.max("comp").alias("high")]
+    cells = posts.select("token", "node", "n", "rest").join(member.select("node", "comp", "g", "gp"), "node").groupBy("token", "g", "gp").agg(*spans)
+    matrix = scratch.keep(cells, "matrix")
+    x = matrix.select("token", *[F.col(c).alias(f"{c}_x") for c in matrix.columns[1:]])
+    y = matrix.select("token", *[F.col(c).alias(f"{c}_y") for c in matrix.columns[1:]])
+    later = F.struct(F.col("g_x").alias("g"), F.col("gp_x").alias("gp")) < F.struct(F.col("g_y").alias("g"), F.col("gp_y").alias("gp"))
+    reach = (100 * F.col("hi_y") >= percent * F.col("lo_x")) & (100 * F.col("hi_x") >= percent * F.col("lo_y"))
+    least_x, least_y = F.greatest("lo_x", _ceil(percent * F.col("lo_y"), 100)), F.greatest("lo_y", _ceil(percent * F.col("lo_x"), 100))
+    left = F.least("rest_x", "rest_y") >= _ceil(percent * (least_x + least_y), 100 + percent)
+    apart = (F.least("low_x", "low_y") != F.greatest("high_x", "high_y"))
+    pairs = x.join(y, (x["token"] == y["token"]) & later & reach & left & apart).select("g_x", "gp_x", "g_y", "gp_y").distinct()
+    pairs = scratch.keep(pairs, "pairs")
+    scratch.drop("matrix")
+    # a part's union of shared tokens in the region; a link needs so many of each side's tokens there
+    named = pairs.select(F.col("g_x").alias("g"), F.col("gp_x").alias("gp")).unionByName(pairs.select(F.col("g_y").alias("g"), F.col("gp_y").alias("gp"))).distinct()
+    members = scratch.keep(member.join(named, ["g", "gp"]), "members")
+    need = F.min(F.col("inside") - F.floor((100 - percent) * F.col("n") / 100)).alias("need")
+    unions = members.join(both.select("node", "region"), "node").groupBy("g", "gp").agg(F.array_distinct(F.flatten(F.collect_list("region"))).alias("union"), need, F.count("*").alias("c"))
+    unions = scratch.keep(unions, "unions")
+    bound = pairs
+    for side in ("x", "y"):
+        own = unions.select(*[F.col(c).alias(f"{c}_{side}") for c in unions.columns])
+        bound = bound.join(own, [f"g_{side}", f"gp_{side}"])
+    bound = bound.where(F.size(F.array_intersect("union_x", "union_y")) >= F.greatest("need_x", "need_y"))
+    opened = scratch.keep(bound.select("g_x", "gp_x", "g_y", "gp_y", "c_y"), "opened")
+    scratch.drop("pairs", "unions")
     scratch.release()
-    asks = scratch.keep(opened.groupBy("g", "gp").agg(F.count("*").alias("asks")), "asks")
-    buckets = max(1, opened.count() // BLOCK)
-    several = F.col("asks") >= BLOCK // 4
-    job = F.when(several, F.xxhash64("g", "gp", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("asks") / BLOCK)))).otherwise(F.pmod(F.xxhash64("g", "gp"), F.lit(buckets)))
-    jobs = scratch.keep(opened.join(asks, ["g", "gp"]).select("doc_id", "g", "gp", job.alias("job")), "jobs-2")
-    opens = jobs.select("g", "gp", "job").distinct().join(member.select("g", "gp", "doc_id"), ["g", "gp"]).select("doc_id", "job")
-    named = scratch.keep(jobs.select("doc_id", "job").unionByName(opens).distinct().join(member.select("doc_id", "comp"), "doc_id"), "named-2")
-    rows = sets.join(named, "doc_id").select("job", "doc_id", "comp", F.lit(0).alias("side"), "tokens")
-    return scratch.keep(rows.groupBy("job").applyInPandas(_group_links(percent), "a long, b long"), "links-2")
+    # a row of the matrix: a part against all those that it opens, in chunks
+    row = scratch.keep(opened.groupBy("g_x", "gp_x").agg(F.sum("c_y").alias("total")), "opened-rows")
+    buckets = max(1, row.count() // 16)
+    chunk = F.pmod(F.xxhash64("g_y", "gp_y"), _ceil(F.col("total"), 2 * BLOCK))
+    unit = F.xxhash64("g_x", "gp_x", "chunk")
+    job = F.when(F.col("total") >= BLOCK // 2, unit).otherwise(F.pmod(F.xxhash64("g_x", "gp_x"), F.lit(buckets)))
+    jobs = scratch.keep(opened.join(row, ["g_x", "gp_x"]).withColumn("chunk", chunk).select("g_x", "gp_x", "g_y", "gp_y", unit.alias("unit"), job.alias("job")), "jobs-2")
+    sides = [
+        jobs.select(F.col(f"g_{c}").alias("g"), F.col(f"gp_{c}").alias("gp"), "unit", "job").distinct().join(members.select("g", "gp", "node", "comp"), ["g", "gp"]).select("job", "unit", "node", "comp", F.lit(i).alias("side"))
+        for i, c in ((1, "x"), (2, "y"))
+    ]
+    dealt = scratch.keep(sides[0].unionByName(sides[1]), "dealt")
+    rows = sets.join(dealt, "node").select("job", "unit", "node", "comp", "side", "tokens")
+    return scratch.keep(rows.groupBy("job").applyInPandas(_job_links(percent), "a long, b long"), "links-2")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,6 +190,32 @@ def test_jaccard_join_chains(spark):
     assert got == helpers.groups([(r[0], r[1]) for r in rows], 3, 90)
 
 
+def test_jaccard_join_many_near_copies(spark, monkeypatch):
+    """Hundreds of near copies around the limit, in parts that meet many others, and frequent passages in texts of all sizes."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    rng, text, rows = random.Random(3), prose(150, 21), []
+    for i in range(260):
+        words = text.split()
+        for at in rng.sample(range(len(words)), rng.randint(1, 6)):
+            words[at] = f"w{rng.randrange(40)}"
+        rows.append((1000 - i, " ".join(words), "en", "a", 1))
+    rows += [(2000 + i, prose(5 + i % 40, i) + " " + PASSAGE, "en", "a", 1) for i in range(80)]
+    df = spark.createDataFrame(rows, DOC).repartition(7)
+    for k, percent in ((3, 90), (5, 80)):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join(spark, df, k, percent).collect()}
+        assert got == helpers.groups([(r[0], r[1]) for r in rows], k, percent)
+
+
+def test_jaccard_join_clashing_ids(spark):
+    """A doc_id with two texts joins what each of them is linked with."""
+    a, b = prose(60, 31), prose(60, 32)
+    rows = [(1, a), (2, a + " z"), (2, b), (3, b + " y"), (4, b + " q"), (5, prose(60, 33))]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in order], DOC)
+        got = {(r["doc_id"], r["component_id"]) for r in jaccard_join.join(spark, df, 3, 90).collect()}
+        assert got == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 5)}
+
+
 def test_jaccard_join_odd(spark, odd, none):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join(spark, clashing(odd), 3, 90).collect()}
     assert got == helpers.groups(texts(odd), 3, 90)
