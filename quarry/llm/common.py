@@ -25,6 +25,8 @@ def shared_root(spark: SparkSession) -> str:
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -35,16 +37,23 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root = spark, f"{shared_root(spark)}/quarry-{label}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def keep(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+        self.names.add(name)
         writer = df.write.mode("overwrite").option("compression", "zstd")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def only(self, *names: str) -> None:
+        """Remove all tables but these."""
+        self.drop(*(self.names - set(names)))
+
     def drop(self, *names: str) -> None:
+        self.names -= set(names)
         jvm = self.spark.sparkContext._jvm
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))

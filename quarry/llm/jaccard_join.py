@@ -82,26 +82,36 @@ def _heads(k: int, percent: int):
 
 
 def _packed(k: int):
-    """Rows (node, digest, text) to (node, tokens), the whole set, where the text is the one that the node stands for."""
+    """Rows (doc_id, node, digest, unit, job, own, text) to (node, unit, job, own, tokens), the whole set, where the text is the one that the node stands for."""
 
     def run(batches: Iterator):
         import pyarrow as pa
 
-        rolling = Rolling(BASE)
+        rolling, last, seen = Rolling(BASE), None, set()
+
+        def made(rows: list[tuple]):
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["node", "unit", "job", "own", "tokens"])
+
         for batch in batches:
-            nodes, found, size = [], [], 0
-            for node, digest, x in zip(batch.column("node").to_pylist(), batch.column("digest").to_pylist(), batch.column("text"), strict=True):
+            rows, size = [], 0
+            for doc, node, digest, unit, job, own, x in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "node", "digest", "unit", "job", "own")), batch.column("text"), strict=True):
+                # rows come by doc_id: repeated ones follow one another and count once
+                if doc != last:
+                    last, seen = doc, set()
+                if (node, unit) in seen:
+                    continue
                 s = shingles(x.as_py(), k, rolling)
                 if _digest(s) != digest:
                     continue
-                nodes.append(node)
-                found.append(s.tobytes())
+                seen.add((node, unit))
+                rows.append((node, unit, job, own, s.tobytes()))
                 size += len(s)
                 if size > 1 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(found, pa.binary())], names=["node", "tokens"])
-                    nodes, found, size = [], [], 0
-            if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(found, pa.binary())], names=["node", "tokens"])
+                    yield made(rows)
+                    rows, size = [], 0
+            if rows:
+                yield made(rows)
 
     return run
 
@@ -205,11 +215,13 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, sc
     scratch = scratch or Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     slim = docs.mapInArrow(_heads(k, percent), "doc_id long, n long, digest binary, inside long, head array<long>")
-    slim = scratch.keep(slim.withColumn("row", F.monotonically_increasing_id()), "slim")
+    heads = scratch.keep(slim.withColumn("row", F.monotonically_increasing_id()), "heads")
+    slim = scratch.keep(heads.select("row", "doc_id", "n", "digest"), "slim")
     real = slim.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     # a node for each different set, named by one of its rows
     nodes = scratch.keep(real.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("rep")), "nodes")
-    own = scratch.keep(real.select(F.col("row").alias("node"), "n", "inside", "head").join(nodes.select("node").hint("merge"), "node", "left_semi"), "own")
+    own = scratch.keep(heads.select(F.col("row").alias("node"), "n", "inside", "head").join(nodes.select("node").hint("merge"), "node", "left_semi"), "own")
+    scratch.drop("heads")
     scratch.release()
 
     # how many sets have each token; only tokens of two or more can be shared
@@ -244,13 +256,6 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, sc
     posts = scratch.keep(posts.join(crowds, "token"), "posts")
     scratch.release()
 
-    # the whole sets of those that meet any other; a merge join at every size: what is broadcast on small tables says nothing of large ones
-    meeting = scratch.keep(posts.select("node").distinct(), "meeting")
-    wanted = nodes.join(meeting, "node", "left_semi").select("node", "digest", F.col("rep").alias("doc_id"))
-    sets = docs.join(wanted.hint("merge"), "doc_id").select("node", "digest", "text").mapInArrow(_packed(k), "node long, tokens binary")
-    sets = scratch.keep(sets.dropDuplicates(["node"]), "sets")
-    scratch.release()
-
     # the first partition: each set with the leader of its class that it meets most often
     leaders = scratch.keep(posts.groupBy("token", "cls").agg(F.min("node").alias("leader")), "leaders")
     met = posts.join(leaders, ["token", "cls"]).where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("c"))
@@ -262,10 +267,18 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, sc
     buckets = max(1, led.count() // BLOCK)
     job = F.when(F.col("c") >= BLOCK // 2, F.xxhash64("g", "gp")).otherwise(F.pmod(F.xxhash64("g"), F.lit(buckets)))
     at = led.select("node", "g", F.xxhash64("g", "gp").alias("unit"), job.alias("job"))
-    at = scratch.keep(at.select("node", "unit", "job").unionByName(at.select(F.col("g").alias("node"), "unit", "job").distinct()), "jobs-1")
-    rows = sets.join(at, "node").select("job", "unit", "node", F.col("node").alias("comp"), F.lit(0).alias("side"), "tokens")
+    guests = at.select(F.col("g").alias("node"), "unit", "job").distinct().withColumn("own", F.lit(False))
+    meeting = posts.select("node").distinct().join(at.drop("g"), "node", "left").withColumn("own", F.lit(True))
+    at = scratch.keep(meeting.unionByName(guests), "jobs-1")
+    # the whole sets of those that meet any other, each with its jobs; merge joins at every size: what is broadcast on small tables says nothing of large ones
+    wanted = nodes.join(at, "node").select("node", "digest", "unit", "job", "own", F.col("rep").alias("doc_id"))
+    sets = docs.join(wanted.hint("merge"), "doc_id").select("doc_id", "node", "digest", "unit", "job", "own", "text").mapInArrow(_packed(k), "node long, unit long, job long, own boolean, tokens binary")
+    sets = scratch.keep(sets, "sets")
+    scratch.drop("leaders", "led", "led-sizes", "jobs-1", "crowds")
+    scratch.release()
+    rows = sets.where("job IS NOT NULL").select("job", "unit", "node", F.col("node").alias("comp"), F.lit(0).alias("side"), "tokens")
     first = scratch.keep(rows.groupBy("job").applyInPandas(_job_links(percent), "a long, b long"), "links-1")
-    scratch.drop("leaders", "led", "led-sizes", "jobs-1")
+    scratch.release()
     edges = first.unionByName(_across(scratch, both, posts, sets, led, first, percent)).unionByName(_same_id(scratch, real, nodes))
     joined = scratch.keep(components(scratch, edges, "link"), "joined")
     scratch.drop("sets", "both", "posts", "member")
@@ -275,7 +288,10 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, sc
     by_set = scratch.keep(named.join(least, "c").select("digest", "component"), "by-set")
     # copies of one text may be a third of all rows: both sides are written tables, which lets Spark split the copies
     answer = slim.select("doc_id", "n", "digest").join(by_set, "digest", "left")
-    return answer.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    answer = answer.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    answer = scratch.keep(answer, "answer")
+    scratch.only("answer")
+    return answer
 
 
 def _same_id(scratch: Scratch, real: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -332,7 +348,7 @@ def _across(scratch: Scratch, both: DataFrame, posts: DataFrame, sets: DataFrame
         for i, c in ((1, "x"), (2, "y"))
     ]
     dealt = scratch.keep(sides[0].unionByName(sides[1]), "dealt")
-    rows = sets.join(dealt, "node").select("job", "unit", "node", "comp", "side", "tokens")
+    rows = sets.where("own").join(dealt.hint("merge"), "node").select(dealt["job"], dealt["unit"], "node", "comp", "side", "tokens")
     return scratch.keep(rows.groupBy("job").applyInPandas(_job_links(percent), "a long, b long"), "links-2")
 
 
