@@ -6,7 +6,7 @@ Parquet and reads it again as the next stage's docs. All but the last return the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import jaccard_join, mixing, packing, quality_classifier, substring_dedup
@@ -20,12 +20,14 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group that links of five-word shingles at 0.8 or more connect, and one row of rows that repeat a doc_id; rows without doc_id stay."""
+    """The document with the smallest doc_id of each group that links of five-word shingles at 0.8 or more connect, and of rows that repeat a doc_id the one with the least text; rows without doc_id stay."""
     scratch = Scratch(spark, "stage-join")
     groups = jaccard_join.join(spark, docs, k=5, percent=80, scratch=scratch).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     groups = scratch.keep(groups, "kept")
+    scratch.only("kept")
     kept = docs.where("doc_id IS NOT NULL").join(groups, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")]))
+    return kept.withColumn("_first", first).where("_first = 1").drop("_first").unionByName(docs.where("doc_id IS NULL"))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
