@@ -133,14 +133,35 @@ def test_substring_text(spark):
     assert got == {1: "keep  this\nand\tthat", 2: ""}
 
 
-def test_fingerprint_index(spark):
-    index = substring_dedup.FingerprintIndex(Scratch(spark, "t"), "i", ["k"], fan_in=2)
-    one = spark.createDataFrame([(1, 1), (2, 1), (2, 1)], "k long, n int")
-    index.add(one)
-    assert {r[0] for r in index.known(spark.createDataFrame([(2, 1), (5, 1)], "k long, n int")).collect()} == {2}
-    index.add(spark.createDataFrame([(1, 1), (7, 1)], "k long, n int"))
-    assert len(index.runs) == 1
-    assert {r[0] for r in index.repeated().collect()} == {1, 2}
+def test_fingerprint_index(spark, tmp_path):
+    path, kind = f"file://{tmp_path}/i", "k long, n int"
+    index = substring_dedup.FingerprintIndex(spark, path, ["k"], fan_in=2)
+    index.add(spark.createDataFrame([(1, 1), (2, 1), (2, 1)], kind))
+    assert {r["k"]: r["known"] for r in index.known(spark.createDataFrame([(2, 1), (5, 1)], kind)).collect()} == {2: True, 5: False}
+    index.add(spark.createDataFrame([(1, 1), (7, 1)], kind))
+    assert {r[0] for r in index.repeated().collect()} == {1, 2} and sorted(index.levels.values()) == [0, 0]
+    index.add(spark.createDataFrame([(7, 1), (8, 1)], kind))
+    assert sorted(index.levels.values()) == [0, 1] and len(list((tmp_path / "i").iterdir())) == 2
+    again = substring_dedup.FingerprintIndex(spark, path, ["k"], fan_in=2)
+    assert again.levels == index.levels and {r[0] for r in again.repeated().collect()} == {1, 2, 7}
+    plan = again.known(spark.createDataFrame([(8, 1)], kind))._jdf.queryExecution().executedPlan().toString()
+    assert "SelectedBucketsCount" in plan
+
+
+@pytest.mark.parametrize("with_text", [True, False])
+def test_substring_days(spark, docs, odd, tmp_path, with_text):
+    """A day judged against an index of the days before gets what one run over all of them gives its rows."""
+    every = docs.select("doc_id", "text").unionByName(odd.selectExpr("doc_id + 100000 AS doc_id", "text"))
+    day = F.pmod(F.xxhash64("doc_id"), F.lit(3))
+    whole = {(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(spark, every, with_text=False).collect()}
+    path, upto = f"file://{tmp_path}/days", []
+    for i in range(3):
+        upto.append(i)
+        want = {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(spark, every.where(day.isin(upto)), with_text=with_text).where(F.lit(True)).collect()}
+        got = substring_dedup.remove_repeats(spark, every.where(day == i), with_text=with_text, index=path).collect()
+        assert len(got) == every.where(day == i).count()
+        assert all(want[r["doc_id"]] == (r["n_removed"], r["kept_sha256"]) for r in got)
+    assert {(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} <= whole
 
 
 def test_chat_against_sql(spark, sf_dir):
