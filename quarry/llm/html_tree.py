@@ -8,6 +8,7 @@ Both kinds of potentials are trained from labelled pages (training_pages()).
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import math
 import random
@@ -29,48 +30,60 @@ BLOCK = frozenset(
 )
 ENDS_P = BLOCK - {"html", "body"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tbody", "tr"}, "tbody": {"thead", "tbody", "tr"}, "tfoot": {"tbody", "tr"}}
+NESTING = frozenset("svg math object template".split())
 SCOPES = frozenset("table ul ol dl div article section body html main aside nav header footer form".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.S)
+#: Parts of a head; any other tag, and text, ends it.
+IN_HEAD = frozenset("base link meta title style script noscript template noframes".split())
+
+# quotes matter only where an attribute's value starts, as HTML has it
+_TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</(?![a-zA-Z])[^>]*(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+|))?+)*+)(>|\Z)",
+    re.S,
+)
 _ATTR = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _PART = re.compile(r"[a-z]+")
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, str]]:
-    """("text", text, ""), ("open", tag, attributes) and ("close", tag, ""); comments, declarations and a tag cut off at the end go."""
+def tokens(page: str) -> Iterator[tuple[str, str, str, int]]:
+    """("text", text, "", place), ("open", tag, attributes, place) and ("close", tag, "", place); comments, declarations and a tag cut off at the end go."""
     at, n = 0, len(page)
     while at < n:
         i = page.find("<", at)
-        if i < 0:
-            yield "text", page[at:], ""
-            return
-        m = _TAG.match(page, i)
+        m = _TAG.match(page, i) if i >= 0 else None
         if m is None:
-            # a bare '<' is text, unless the page ends in a tag that was cut off
-            j = page.find("<", i + 1)
+            # a bare '<' is text
+            j = page.find("<", i + 1) if i >= 0 else -1
             end = n if j < 0 else j
-            if page[i + 1 : i + 2].isalpha() or page[i + 1 : i + 2] == "/":
-                if i > at:
-                    yield "text", page[at:i], ""
-                at = end
-                continue
-            yield "text", page[at:end], ""
+            yield "text", page[at:end], "", at
             at = end
             continue
         if i > at:
-            yield "text", page[at:i], ""
+            yield "text", page[at:i], "", at
         at = m.end()
         if m[2] is None or not m[4]:
             continue
         name = m[2].lower()
         if m[1]:
-            yield "close", name, ""
+            yield "close", name, "", i
             continue
-        yield "open", name, m[3] or ""
+        yield "open", name, m[3] or "", i
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
-            yield "close", name, ""
-            at = end.end() if end else n
+            yield "close", name, "", at
+            # without an end tag the rest of the page is the element's, unless it was written as an empty one
+            at = end.end() if end else at if m[3].endswith("/") else n
+
+
+def _ends(page: str, name: str, at: int, known: dict) -> bool:
+    """Whether the element opened at a place has an end tag before the next of its name opens; those that nest, whether there is any."""
+    if name not in known:
+        found = [(m.start(), bool(m[1])) for m in re.finditer(rf"<(/?){name}(?=[\s/>])", page, re.I)]
+        known[name] = [i for i, _ in found], [close for _, close in found]
+    places, closes = known[name]
+    k = bisect.bisect_right(places, at)
+    return k < len(places) and (closes[k] or (name in NESTING and True in closes[k:]))
 
 
 class Node:
@@ -82,27 +95,74 @@ class Node:
         self.kids = self.total = self.linked = self.paragraphs = 0
 
 
+class _Open:
+    """The open elements, with the places of each name, so that no look-up walks through them."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int]] = [("html", 0)]  # every open element with its block node
+        self.places: dict[str, list[int]] = {}
+        self.blocks, self.skipped, self.links = [0], 0, []
+
+    def push(self, name: str, node: int | None = None, link: bool = False) -> None:
+        at = len(self.stack)
+        self.places.setdefault(name, []).append(at)
+        if node is not None:
+            self.blocks.append(at)
+        if link:
+            self.links.append(at)
+        self.skipped += name in SKIPPED
+        self.stack.append((name, self.stack[-1][1] if node is None else node))
+
+    def cut(self, at: int) -> bool:
+        """Close everything from a place on; whether a block was among it."""
+        while len(self.stack) > at:
+            name = self.stack.pop()[0]
+            self.places[name].pop()
+            self.skipped -= name in SKIPPED
+        while self.links and self.links[-1] >= at:
+            self.links.pop()
+        block = self.blocks[-1] >= at
+        while self.blocks[-1] >= at:
+            self.blocks.pop()
+        return block
+
+    def last(self, names) -> int:
+        return max((self.places[x][-1] for x in names if self.places.get(x)), default=-1)
+
+    def imply_end(self, names, scope) -> None:
+        """Close the nearest open element of names, unless one of scope lies nearer."""
+        at = self.last(names)
+        if at > self.last(scope - names):
+            self.cut(at)
+
+
+P_SCOPE = SCOPES | {"td", "th", "li"}
+
+
 def tree(page: str) -> list[Node]:
     """Nodes in page order, each after its parent; the text of a "#text" node is a run of inline text, white space made single."""
     nodes = [Node("html", -1)]
-    open_tags: list[tuple[str, int]] = [("html", 0)]  # every open element with its block node
+    now, ends = _Open(), {}
     run: Node | None = None
-    skipping, in_link = 0, 0
-    for kind, value, extra in tokens(page):
+    linked = False  # whether the open link has had text
+    for kind, name, extra, place in tokens(page):
+        if now.stack[-1][0] == "head" and (name not in IN_HEAD if kind == "open" else kind == "text" and not name.isspace()):
+            now.cut(len(now.stack) - 1)
         if kind == "text":
-            if skipping:
+            if now.skipped:
                 continue
-            text = entities.unescape(value)
+            text = entities.unescape(name)
             if run is None:
                 if not text.strip():
                     continue
-                run = Node("#text", open_tags[-1][1])
+                run = Node("#text", now.stack[-1][1])
                 nodes.append(run)
             run.text.append(text)
-            if in_link:
-                run.links += len(text.strip())
+            if now.links:
+                size = len(text.strip())
+                run.links += size
+                linked = linked or size > 0
             continue
-        name = value
         if kind == "open":
             if name in VOID:
                 if name == "hr":
@@ -111,42 +171,41 @@ def tree(page: str) -> list[Node]:
                     run.text.append(" ")
                 continue
             if name in SKIPPED:
-                skipping += 1
-                open_tags.append((name, open_tags[-1][1]))
+                # what has no end of its own holds nothing back
+                if name in RAW or name == "head" or (not extra.rstrip().endswith("/") and _ends(page, name, place, ends)):
+                    now.push(name)
+                continue
+            if now.skipped:
+                # markup inside a skipped element
+                now.push(name)
                 continue
-            if skipping:
-                # markup inside a skipped element, but for a body that starts where a head was not closed
-                if name == "body" and any(t == "head" for t, _ in open_tags):
-                    open_tags, skipping = [("html", 0)], 0
-                else:
-                    open_tags.append((name, open_tags[-1][1]))
-                    continue
             if name in ENDS_P:
-                _end(open_tags, {"p"}, SCOPES - {"table"} | {"td", "th", "li"})
+                now.imply_end({"p"}, P_SCOPE)
             if name in SIBLINGS:
-                _end(open_tags, SIBLINGS[name], SCOPES)
-            if name == "a":
-                in_link = 1
+                now.imply_end(SIBLINGS[name], SCOPES)
             if name in BLOCK and name != "html":
                 run = None
+                if now.links and linked:
+                    # a link that had text before a block starts was never closed
+                    now.links.clear()
                 found = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(extra)} if extra else {}
                 hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-                nodes.append(Node(name, open_tags[-1][1], f"{found.get('class', '')} {found.get('id', '')}".lower(), "hidden" if hidden else found.get("role", "").lower()))
-                open_tags.append((name, len(nodes) - 1))
+                nodes.append(Node(name, now.stack[-1][1], f"{found.get('class', '')} {found.get('id', '')}".lower(), "hidden" if hidden else found.get("role", "").lower()))
+                now.push(name, len(nodes) - 1)
+            elif name == "a":
+                now.links.clear()
+                linked = False
+                now.push(name, link="href" in extra.lower())
             else:
-                open_tags.append((name, open_tags[-1][1]))
+                now.push(name)
         else:
             if name == "a":
-                in_link = 0
-            at = next((i for i in range(len(open_tags) - 1, 0, -1) if open_tags[i][0] == name), None)
-            if at is None:
-                continue
-            if name not in BLOCK and any(t in BLOCK for t, _ in open_tags[at + 1 :]):
+                now.links.clear()
+            at = now.last((name,))
+            if at < 0 or name not in BLOCK and now.blocks[-1] > at:
                 continue
-            if any(t in BLOCK for t, _ in open_tags[at:]):
+            if now.cut(at):
                 run = None
-            skipping -= sum(t in SKIPPED for t, _ in open_tags[at:])
-            del open_tags[at:]
     for node in nodes:
         if node.tag == "#text":
             node.text = " ".join("".join(node.text).split())
@@ -161,16 +220,6 @@ def tree(page: str) -> list[Node]:
     return nodes
 
 
-def _end(open_tags: list[tuple[str, int]], tags: set[str], scope: frozenset | set) -> None:
-    """Close the nearest open element of tags, unless one of scope lies nearer."""
-    for i in range(len(open_tags) - 1, 0, -1):
-        if open_tags[i][0] in tags:
-            del open_tags[i:]
-            return
-        if open_tags[i][0] in scope:
-            return
-
-
 # Parts of class and id names that pages use for what they hold.
 HINTS = {
     "menu": "nav menu navbar navigation breadcrumb breadcrumbs tabs pager pagination toc topbar toolbar skip",
