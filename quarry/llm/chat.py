@@ -2,7 +2,7 @@
 
 A template is a function from a list of (role, text) turns to one string, and nothing else is known of it. Successive prefixes of a
 conversation are rendered; where each output continues the one before, the added part is that turn's span. A turn's text is found
-inside its span by rendering the turn once more with a lone marker character for text. A template that rewrites what it has
+inside its span by rendering the turn twice more with one character for text, a different one each time: they differ there and nowhere else. A template that rewrites what it has
 rendered before shows in an output that does not continue the last one.
 """
 
@@ -20,8 +20,8 @@ from quarry.llm.common import table
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 
-#: Never part of a rendered turn's own markup: the text of a turn when only its place is wanted.
-MARKER = "\ufdd0"
+#: Two texts of one character each, for when only a text's place is wanted.
+MARKERS = ("\ufdd0", "\ufdd1")
 
 _OPEN = re.compile(r"<(\\*)\|")
 _CLOSED = re.compile(r"<\\(\\*)\|")
@@ -64,13 +64,13 @@ def spans(template: Template, turns: list[Turn]) -> tuple[str, list[tuple[int, i
         now = template(turns[:k])
         if not now.startswith(out):
             raise RewritesHistory(f"turn {k - 1} changes what was rendered before it")
-        marked = template([*turns[: k - 1], (role, MARKER)])
-        # the output before the text has no marker but what earlier texts hold, and those lie before this turn
-        at = marked.find(MARKER, len(out)) if marked.startswith(out) else -1
-        if at < 0:
+        one, two = (template([*turns[: k - 1], (role, x)]) for x in MARKERS)
+        at = len(out)
+        while at < min(len(one), len(two)) and one[at] == two[at]:
+            at += 1
+        if not one.startswith(out) or one[at : at + 1] != MARKERS[0] or two != one[:at] + MARKERS[1] + one[at + 1 :]:
             raise RewritesHistory(f"turn {k - 1} does not render its text in place")
-        tail = len(marked) - at - len(MARKER)
-        found.append((len(out), at, len(now) - tail, len(now)))
+        found.append((len(out), at, len(now) - (len(one) - at - 1), len(now)))
         out = now
     return out, found
 
