@@ -23,6 +23,8 @@ PIECE = 512
 GROUP_TOKENS = 1 << 18
 END = 1
 TOKENIZER = "byte_bpe_50k"
+#: Fixed values of the vocabulary: its special token and that token's id.
+SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 #: Words whose ids a worker remembers; what this bounds is memory, not the texts.
 REMEMBER = 300_000
 
@@ -32,7 +34,8 @@ def encoder(name: str = TOKENIZER):
     """A function from text to its ids as little-endian uint32 bytes, equal to tokenizers' encoding of the same vocabulary.
 
     Text is split at single spaces and line ends, where the vocabulary's pattern always parts too, and words' ids are remembered;
-    text with other white space, or with two such characters together, is encoded whole.
+    text with other white space, or with two such characters together, is encoded whole. The special token's string is its one id
+    wherever it stands, and parts the text, as in that library's default.
     """
     import base64
     import re
@@ -43,7 +46,6 @@ def encoder(name: str = TOKENIZER):
     with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     whole = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    known: dict[str, bytes] = {}
     odd = re.compile(r"\s\s|\s\Z|[^\S \n]")
     newline = np.array(whole.encode_ordinary("\n"), "<u4").tobytes()
 
@@ -56,7 +58,14 @@ def encoder(name: str = TOKENIZER):
 
     known = Words()
 
+    special = np.array([SPECIAL_ID], "<u4").tobytes()
+
     def encode(text: str) -> bytes:
+        if SPECIAL in text:
+            return special.join(map(plain, text.split(SPECIAL)))
+        return plain(text)
+
+    def plain(text: str) -> bytes:
         if odd.search(text):
             return np.array(whole.encode_ordinary(text), "<u4").tobytes()
         return newline.join(b"".join(map(known.__getitem__, _spaced(line))) for line in text.split("\n"))
