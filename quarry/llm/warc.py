@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -22,6 +21,9 @@ from quarry.llm.common import Scratch, table
 RECORD_END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 RECORDS_PER_FILE = 4000
+#: What a file's records come to before compression, by their mean size.
+FILE_BYTES = 1 << 28
+CHUNK = 1 << 16
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -76,7 +78,9 @@ def _record(page: int | None, url: str | None, payload: str, digest: str, size:
 
 
 def write_archives(pages: DataFrame, resolved: DataFrame, path: str) -> None:
-    """One gzip-compressed archive per task and RECORDS_PER_FILE records, each record with fresh headers."""
+    """Gzip-compressed archives of about FILE_BYTES, by the mean record, and RECORDS_PER_FILE records at most, each record with fresh headers."""
+    mean = resolved.agg(F.avg(F.when(F.col("original").isNull(), F.col("size")).otherwise(0))).first()[0] or 0
+    per_file = int(max(1, min(RECORDS_PER_FILE, FILE_BYTES // (mean + 512))))
 
     def run(batches):
         import pyarrow as pa
@@ -90,25 +94,60 @@ def write_archives(pages: DataFrame, resolved: DataFrame, path: str) -> None:
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.xxhash64(F.coalesce("html", F.lit(""))).alias("h"))
     named = resolved.dropDuplicates(["page_id", "digest"]).withColumnRenamed("page_id", "id").withColumnRenamed("h", "h2")
     rows = keyed.join(named, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("h2")))
-    rows.select("page_id", "url", "html", "digest", "size", "original").mapInArrow(run, "value string").write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
-
-
-_HEADER = re.compile(rb"WARC/1\.1\r\n(.*?)\r\n\r\n", re.S)
-
-
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, payload) of each record of an uncompressed archive; the payload is what follows the HTTP header block."""
-    at = 0
-    while at < len(data):
-        m = _HEADER.match(data, at)
-        if not m:
-            raise ValueError(f"no record at byte {at}")
-        head = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in m[1].decode().split("\r\n"))
-        end = m.end() + int(head["Content-Length"])
-        yield head, data[data.index(b"\r\n\r\n", m.end(), end) + 4 : end]
-        if data[end : end + 4] != b"\r\n\r\n":
-            raise ValueError(f"record at byte {at} does not end where it says")
-        at = end + 4
+    rows.select("page_id", "url", "html", "digest", "size", "original").mapInArrow(run, "value string").write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+
+
+class _Inflated:
+    """The bytes of a gzip archive of any number of members, inflated a chunk at a time as they are asked for."""
+
+    def __init__(self, packed: bytes):
+        self.packed, self.at, self.inflate, self.held = memoryview(packed), 0, zlib.decompressobj(31), bytearray()
+
+    def more(self) -> bool:
+        if self.inflate.eof:
+            self.at -= len(self.inflate.unused_data)
+            self.inflate = zlib.decompressobj(31)
+        waiting = self.inflate.unconsumed_tail
+        if not waiting:
+            waiting = self.packed[self.at : self.at + CHUNK]
+            self.at += len(waiting)
+        if not waiting:
+            return False
+        self.held += self.inflate.decompress(waiting, CHUNK)
+        return True
+
+    def upto(self, mark: bytes) -> bytes | None:
+        """The bytes before the mark, which go as well; None at the end."""
+        seen = 0
+        while (i := self.held.find(mark, seen)) < 0:
+            seen = max(0, len(self.held) - len(mark) + 1)
+            if not self.more():
+                if self.held:
+                    raise ValueError("the archive ends within a record's header")
+                return None
+        return self.take(i + len(mark))[:i]
+
+    def take(self, n: int) -> bytes:
+        while len(self.held) < n:
+            if not self.more():
+                raise ValueError("the archive ends within a record")
+        out = bytes(self.held[:n])
+        del self.held[:n]
+        return out
+
+
+def parse(packed: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, payload) of each record of a gzip archive, one record in memory at a time; the payload is what follows the HTTP header block."""
+    data = _Inflated(packed)
+    while (block := data.upto(b"\r\n\r\n")) is not None:
+        first, *lines = block.decode().split("\r\n")
+        if first != "WARC/1.1":
+            raise ValueError(f"no record starts with {first[:40]!r}")
+        head = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines)
+        body = data.take(int(head["Content-Length"]))
+        yield head, body[body.index(b"\r\n\r\n") + 4 :]
+        if data.take(4) != b"\r\n\r\n":
+            raise ValueError(f"record {head.get('WARC-Record-ID')} does not end where it says")
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -121,7 +160,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column("content"):
                 rows, held = [], 0
-                for head, payload in parse(zlib.decompress(content.as_py(), 31)):
+                for head, payload in parse(content.as_py()):
                     name, refers = _id(head["WARC-Record-ID"]), head.get("WARC-Refers-To")
                     digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
                     if refers is None and digest_of(payload) != digest:
@@ -152,7 +191,7 @@ def deduplicate(spark: SparkSession, pages: DataFrame, path: str, least: int = 0
     """
     scratch = scratch or Scratch(spark, "warc")
     heads = scratch.keep(headers(pages), "heads")
-    write_archives(pages, resolve(heads, scratch, least), path)
+    write_archives(pages, scratch.keep(resolve(heads, scratch, least), "resolved"), path)
     records = scratch.keep(read_archives(spark, path).drop("payload"), "records")
     originals = records.where("type = 'response'").select(F.col("page_id").alias("original"), F.col("digest").alias("d"), F.col("size").alias("full")).distinct()
     originals = scratch.keep(originals, "originals")
