@@ -13,11 +13,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import mix64, table
+from quarry.llm.common import Scratch, mix64, table
 
 WIDTH = 1 << 18
 #: Labelled documents that the model is fitted on, at most about so many; they are drawn by hash of doc_id.
 TRAIN_ROWS = 6000
+#: Feature lists of training rows, all together, in bytes.
+TRAIN_BYTES = 1 << 28
 FOLDS = 5
 THRESHOLD = 0.3
 COST = 0.1
@@ -149,8 +151,8 @@ def fold_of(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.encode(F.col(doc_id).cast("string"), "utf-8")) % FOLDS, F.lit(0))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Fitted on labelled documents outside fold 0. Repeated labels of a document count by majority; null ones don't count."""
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, scratch: Scratch | None = None) -> Model:
+    """Fitted on labelled documents outside fold 0, about rows of them, and fewer where their features exceed about TRAIN_BYTES. Repeated labels of a document count by majority; null ones don't count."""
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(fold_of() != 0).groupBy(F.col("doc_id").cast("long").alias("id")).agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
     n = known.count()
     if n > rows:
@@ -165,8 +167,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
             found = [indicators(x.as_py() or "").tobytes() for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(found, pa.binary())], names=["id", "y", "found"])
 
-    got = texts.select("id", "y", "text").mapInArrow(run, "id long, y int, found binary").toArrow()
-    order = sorted(range(got.num_rows), key=lambda i: (got["id"][i].as_py(), got["found"][i].as_py()))
+    # rows that repeat an id count once, by the least of their feature lists
+    found = texts.select("id", "y", "text").mapInArrow(run, "id long, y int, found binary").groupBy("id").agg(F.min("y").alias("y"), F.min("found").alias("found"))
+    found = (scratch or Scratch(docs.sparkSession, "train")).keep(found, "features")
+    size = found.agg(F.coalesce(F.sum(F.length("found")), F.lit(0))).first()[0]
+    if size > TRAIN_BYTES:
+        found = found.where(F.pmod(F.xxhash64("id", F.lit("bytes")), F.lit(1 << 30)) < int((1 << 30) * TRAIN_BYTES / size))
+    got = found.toArrow()
+    order = sorted(range(got.num_rows), key=lambda i: got["id"][i].as_py())
     return fit([np.frombuffer(got["found"][i].as_py(), np.uint32) for i in order], np.array([got["y"][i].as_py() for i in order], int))
 
 
