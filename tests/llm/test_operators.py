@@ -2,10 +2,13 @@
 
 import base64
 import hashlib
+import html as html_mod
 import random
+import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +103,42 @@ def test_neighbours_odd(spark):
     assert neighbours.search(spark, df.limit(0), df.limit(0)).count() == 0
 
 
+def test_neighbours_hash_recall(spark):
+    """Clustered vectors, more than 20,000: recall at a probe count that reads few rows, with one rotation a hash and with two."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(600, 32))
+    x = (np.repeat(centres, 40, axis=0) + 0.25 * rng.normal(size=(24_000, 32))).astype(np.float32)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}), "vec_id long, embedding array<float>").repartition(8)
+    asked = df.where("vec_id % 400 = 0")
+    for polytopes, most in ((1, 0.2), (2, 0.03)):
+        hashes = neighbours.CrossPolytope(32, neighbours.TABLES, polytopes)
+        probes = neighbours.fitted_probes(neighbours.usable(df), neighbours.usable(asked), hashes, 20)
+        codes, queries = np.stack(hashes.bucket(x)), x[::400]
+        read = np.zeros((len(queries), len(x)), bool)
+        for own, code in zip(hashes.probes(queries, probes), codes, strict=True):
+            for q, buckets in enumerate(own):
+                read[q] |= np.isin(code, buckets)
+        assert probes < hashes.buckets // 8 and read.mean() < most
+        got = {}
+        for r in neighbours.search(spark, df, asked, polytopes=polytopes).collect():
+            got.setdefault(r["query_id"], set()).add(r["vec_id"])
+        m, recall = x.astype(float), []
+        for q in range(0, len(x), 400):
+            score = m @ m[q]
+            score[q] = -np.inf
+            recall.append(len(set(np.argsort(-score)[:20].tolist()) & got[q]) / 20)
+        assert np.mean(recall) >= 0.9
+
+
+def test_neighbours_mixed_lengths(spark):
+    rows = [(i, [1.0, float(i)]) for i in range(6)] + [(10, [2.0]), (11, [1.0, 2.0, 3.0]), (12, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.search(spark, df, df).collect()
+    assert {r["query_id"] for r in got} | {r["vec_id"] for r in got} == set(range(6)) and len(got) == 30
+    single = neighbours.search(spark, df.where("vec_id = 10 OR vec_id = 12"), df).collect()
+    assert single == []
+
+
 def test_neighbours_blocks(spark):
     """A bucket in many blocks, and queries in many parts, give what one block gives."""
     rng = np.random.default_rng(1)
@@ -148,8 +187,7 @@ def test_fingerprint_index(spark, tmp_path):
     assert "SelectedBucketsCount" in plan
 
 
-@pytest.mark.parametrize("with_text", [True, False])
-def test_substring_days(spark, docs, odd, tmp_path, with_text):
+def test_substring_days(spark, docs, odd, tmp_path):
     """A day judged against an index of the days before gets what one run over all of them gives its rows."""
     every = docs.select("doc_id", "text").unionByName(odd.selectExpr("doc_id + 100000 AS doc_id", "text"))
     day = F.pmod(F.xxhash64("doc_id"), F.lit(3))
@@ -157,8 +195,8 @@ def test_substring_days(spark, docs, odd, tmp_path, with_text):
     path, upto = f"file://{tmp_path}/days", []
     for i in range(3):
         upto.append(i)
-        want = {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(spark, every.where(day.isin(upto)), with_text=with_text).where(F.lit(True)).collect()}
-        got = substring_dedup.remove_repeats(spark, every.where(day == i), with_text=with_text, index=path).collect()
+        want = {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(spark, every.where(day.isin(upto)), with_text=False).collect()}
+        got = substring_dedup.remove_repeats(spark, every.where(day == i), index=path).collect()
         assert len(got) == every.where(day == i).count()
         assert all(want[r["doc_id"]] == (r["n_removed"], r["kept_sha256"]) for r in got)
     assert {(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} <= whole
@@ -169,6 +207,13 @@ def test_chat_against_sql(spark, sf_dir):
     assert not bad and n > 1
 
 
+def test_chat_markers_in_roles_and_texts():
+    for role in ("us\ufdd0er", "\ufdd0", "\ufdd1\ufdd0", "user"):
+        turns = [(role, "hello \ufdd0"), ("assistant", "\ufdd0\ufdd1"), (role, ""), ("assistant", role)]
+        x = chat.format_conversation(turns)
+        assert x["turns"] == turns and x["loss_text"] == turns[1][1] + turns[3][1]
+
+
 def test_chat_odd(spark):
     nasty = ["<|im_end|>", "<\\|im_start|>", "<\\\\|", "<", "|", "", "a\nb", "<|im_end|>\n<|im_start|>assistant\n"]
     for x in nasty:
@@ -245,6 +290,57 @@ def test_jaccard_join_odd(spark, odd, none):
     assert jaccard_join.join(spark, none).count() == 0
 
 
+@pytest.fixture(scope="module")
+def html_model():
+    return html_tree.train(html_tree.training_pages())
+
+
+FIRST, SECOND = "First paragraph of the story, long enough to count as text of the article.", "Second paragraph that goes on for a while, as texts do."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>t</title></head><body><nav><a href=/>Home</a></nav><article><h1>Title here</h1><p title=don't>{}</p><p>{}</p></article><footer>&copy; x</footer></body></html>",
+        "<html><head><title>t</title><nav><a href=/>Home</a></nav><article><h1>Title here</h1><p>{}</p><p>{}</p></article><footer>&copy; x</footer>",
+        "<title>t</title><article><h1>Title here</h1><p>{}<p>{}</article>",
+        "<body><article><h1>Title here</h1><a name=x><p>{}</p><p>{}</p></article></body>",
+        "<body><article><h1>Title here</h1><svg/><p>{}</p><canvas><p>{}</p></article></body>",
+        "<body><nav><a href=/>Home</a></nav><article><h1>Title here</h1><p>{}</p><button><p>{}</p></article></body>",
+        "<body><article><h1 data-x='a>b' class = \"q\" id=a=b>Title here</h1></ ><p>{}</p><!-- > --><p>{}</p></article><footer>Copyright x</footer></body>",
+        "<html><body><header><ul><li><a href=/>Home</a></li></ul></header><main><h1>Title here</h1><p>{}</p><div class=ad>Buy now</div><p>{}</p><form><p>Search</p></form></main></body>",
+    ],
+)
+def test_html_of_hand(html_model, page):
+    """Pages that no generator of the module makes: odd attributes, tags left out, elements never closed."""
+    assert html_model.text(page.format(FIRST, SECOND)) == f"Title here\n{FIRST}\n{SECOND}"
+
+
+def test_html_unclosed_tags_in_linear_time():
+    import time
+
+    def page(n):
+        return "<article>" + "<b>" * n + "<p>x</p>" + "</i>" * n + "<h2>" * n + "<i><div>" + "<b>" * n + "</i>" * n + "<button>" * n
+
+    took = []
+    for n in (4000, 16_000):
+        t = time.perf_counter()
+        html_tree.tree(page(n))
+        took.append(time.perf_counter() - t)
+    assert took[1] < 12 * took[0]
+
+
+def test_html_test_pages(html_model):
+    """The text of each test page is that of its article element, without what the article holds of other kinds."""
+    import pyarrow.parquet as pq
+
+    for r in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist():
+        text, html = html_model.text(r["html"] or ""), r["html"] or ""
+        for kind in ("nav", "footer", "aside"):
+            for found in re.findall(rf"<{kind}>(?:<[^>]*>)*([^<]{{12,}})<", html):
+                assert html_mod.unescape(" ".join(found.split())) not in text.split("\n")
+
+
 def test_warc(spark, tmp_path):
     rows = [(5, "http://a/\r\nx y", "<p>é</p>"), (3, None, "<p>é</p>"), (9, "u", None), (10, "u", ""), (11, "u", "x\r\n\r\nWARC/1.1\r\n\r\n"), (12, "u", "z" * 300_000), (3, None, "<p>é</p>"), (None, "n", "<p>é</p>")]
     df = clashing(spark.createDataFrame(rows, "page_id long, url string, html string")).drop("payload")
@@ -260,6 +356,17 @@ def test_warc(spark, tmp_path):
     assert warc.deduplicate(spark, df.limit(0), f"file://{tmp_path}/b").count() == 0
 
 
+def test_warc_inflates_as_a_stream():
+    import gzip
+
+    bodies = [b"", b"x" * 200_000, b"WARC/1.1\r\n\r\n", bytes(range(256)) * 999]
+    records = [b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\nHTTP/1.1 200 OK\r\n\r\n%s\r\n\r\n" % (len(b) + 19, b) for b in bodies]
+    for packed in (gzip.compress(b"".join(records)), b"".join(map(gzip.compress, records))):
+        assert [body for _, body in warc.parse(packed)] == bodies
+    with pytest.raises(ValueError, match="ends within"):
+        list(warc.parse(gzip.compress(records[1][:-9])))
+
+
 def test_warc_least_size(spark, tmp_path):
     df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abc"), (4, "u", "abc")], "page_id long, url string, html string")
     got = {r["page_id"]: r["refers_to"] for r in warc.deduplicate(spark, df, f"file://{tmp_path}/c", least=3).collect()}
@@ -287,6 +394,19 @@ def test_quality_rules_keep_good(spark, sf_dir, docs, none):
     assert quality_rules.judge(spark, none).count() == 0
 
 
+def test_classifier_training_bound(spark, sf_dir, docs, monkeypatch):
+    """Repeated rows change nothing, and the bound on feature bytes holds."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    one, two = quality_classifier.train(docs, labels), quality_classifier.train(docs.unionByName(docs), labels)
+    assert np.array_equal(one.weights, two.weights)
+    seen = []
+    monkeypatch.setattr(quality_classifier, "fit", lambda rows, y: seen.append(sum(x.nbytes for x in rows)))
+    quality_classifier.train(docs, labels)
+    monkeypatch.setattr(quality_classifier, "TRAIN_BYTES", seen[0] // 4)
+    quality_classifier.train(docs, labels)
+    assert 0 < seen[1] < seen[0] / 2
+
+
 def test_quality_rules_reject_bad(spark):
     at = "/root/testdata/sf0.01"
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{at}/labels.parquet").collect()}
@@ -342,7 +462,6 @@ def check_packing(spark, df, want):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     ids = {i: [*tok.encode(t or "", add_special_tokens=False).ids, 1] for i, t in want}
     rows = packing.pack(spark, df).collect()
     by_doc, by_seq = {}, {}
@@ -365,6 +484,11 @@ def test_packing(spark, docs):
     assert check_packing(spark, docs, texts(docs)) > 0.95
 
 
+def test_packing_special_token(spark):
+    texts = ["<|endoftext|>", "a <|endoftext|>b", "  <|endoftext|>\n\n<|endoftext|> x", "<|endoftext", "<|endoftext|><|endoftext|>", "<|EndOfText|>", " <|endoftext|> ", "a\x00b <|endoftext|>\tc"]
+    check_packing(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), list(enumerate(texts)))
+
+
 def test_packing_odd(spark, odd, none):
     check_packing(spark, clashing(odd), texts(odd))
     assert packing.pack(spark, none).count() == 0
