@@ -118,7 +118,7 @@ def ranking_metrics(spark, d):
     return top.groupBy("source").agg(F.round(F.try_divide(F.sum(F.when(F.col("k") <= 10, F.col("rel")).otherwise(0)), F.sum("rel")), 6).alias("recall_10"), F.round(F.sum(F.when(F.col("k") <= 10, F.col("rel") / F.log2(F.col("k") + 1)).otherwise(0.0)), 6).alias("dcg_10"))
 
 
-@query("relation_potential_fit", "M04 M05 N13")
+@query("relation_potential_fit", "M04 M05")
 def relation_potential_fit(spark, d):
     """Logistic fit of quality on text rates with weights kept at or above zero, by MLlib; one row a weight."""
     from pyspark.ml.classification import LogisticRegression

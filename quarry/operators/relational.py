@@ -195,7 +195,7 @@ def ordinality_lookup(spark, d):
     return asked.join(table(spark, d, "orders"), F.col("o_custkey") == F.col("key"), "left").groupBy("ord", "key").agg(F.count("o_orderkey").alias("n"))
 
 
-@query("incidence_lift", "J24 S18", "WITH h AS (SELECT o_orderkey, list(l_partkey ORDER BY l_linenumber) FILTER (WHERE l_discount > 0.05) AS ports FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1) SELECT o_orderkey, part, coalesce(len(ports), 0)::INTEGER AS arity FROM h LEFT JOIN (SELECT o_orderkey AS k, unnest(ports) AS part FROM h) ON k = o_orderkey")
+@query("incidence_lift", "J24", "WITH h AS (SELECT o_orderkey, list(l_partkey ORDER BY l_linenumber) FILTER (WHERE l_discount > 0.05) AS ports FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1) SELECT o_orderkey, part, coalesce(len(ports), 0)::INTEGER AS arity FROM h LEFT JOIN (SELECT o_orderkey AS k, unnest(ports) AS part FROM h) ON k = o_orderkey")
 def incidence_lift(spark, d):
     lines = table(spark, d, "lineitem")
     ports = table(spark, d, "orders").select("o_orderkey").join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left").groupBy("o_orderkey").agg(F.array_sort(F.collect_list(F.when(F.col("l_discount") > 0.05, F.struct("l_linenumber", "l_partkey")))).alias("ports"))

@@ -11,7 +11,7 @@ from quarry.plans.registry import query, table
 
 @query(
     "column_profile",
-    "X36 A11 A10 S16",
+    "X36 A11 A10",
     """WITH u AS (SELECT unnest(['l_quantity','l_extendedprice','l_discount','l_tax']) AS col, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS v FROM lineitem)
 SELECT col, count(*) AS n, count(*) - count(v) AS missing, count(DISTINCT v) AS n_distinct, min(v) AS low, max(v) AS high, round(avg(v), 4) AS mean, round(var_pop(v), 1) AS variance,
 round(quantile_cont(v, 0.25), 4) AS q25, round(quantile_cont(v, 0.5), 4) AS q50, round(quantile_cont(v, 0.75), 4) AS q75 FROM u GROUP BY col""",
@@ -28,7 +28,7 @@ def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     return out.select("*", *[F.round(F.col("q")[i], 4).alias(f"q{p}") for i, p in enumerate((25, 50, 75))]).drop("q")
 
 
-@query("top_values", "X36 A06 A07", "SELECT p_brand, p_type, n FROM (SELECT p_brand, p_type, count(*) AS n, row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, p_type) AS r FROM part GROUP BY 1, 2) WHERE r <= 4")
+@query("top_values", "X36 A06", "SELECT p_brand, p_type, n FROM (SELECT p_brand, p_type, count(*) AS n, row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, p_type) AS r FROM part GROUP BY 1, 2) WHERE r <= 4")
 def top_values(spark, d):
     n = table(spark, d, "part").groupBy("p_brand", "p_type").agg(F.count("*").alias("n"))
     return n.withColumn("r", F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("n"), "p_type"))).where("r <= 4").drop("r")
