@@ -46,7 +46,7 @@ def replay(df: DataFrame, transform: Callable[[DataFrame], DataFrame], mode: str
 
 
 def windowed_counts(events: DataFrame) -> DataFrame:
-    """Counts and sums by hour and type; rows more than two days late are dropped."""
+    """Counts and sums by hour and type. In append mode a window comes out once no row for it can follow, rows more than two days late are dropped and state ends with its window; complete mode keeps every window."""
     w = events.withWatermark("ts", "2 days").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return w.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
 
@@ -56,6 +56,15 @@ def stream_window_counts(spark, d):
     return replay(stream(spark, d, "events"), windowed_counts, "complete")
 
 
+@query(
+    "stream_closed_windows",
+    "ST12 ST01",
+    "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 DAY FROM events)",
+)
+def stream_closed_windows(spark, d):
+    return replay(stream(spark, d, "events"), windowed_counts, "append")
+
+
 @query(
     "session_windows",
     "ST12",
