@@ -386,6 +386,42 @@ def test_quality_rules(spark, request, which):
         assert not (r["base_failed"] and r["kept"])
 
 
+def test_quality_rules_verdicts(spark):
+    """Every verdict against quartiles of plain sorted lists, and fences that move with their group."""
+    rng, rows = random.Random(8), []
+    for i in range(400):
+        group = i % 3
+        words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 4 + 5 * group))) for _ in range(rng.randint(12, 60))]
+        words += ["#"] * rng.choice([0, 0, 0, 1, 3, 9]) + ["*&%"] * rng.choice([0, 0, 2 * group])
+        lines = [" ".join(words[k : k + 6]) for k in range(0, len(words), 6)]
+        lines += lines[:1] * rng.choice([0, 0, 1, 4])
+        if rng.random() < 0.03:
+            lines = ["x" * 90] * 1 + [" ".join("".join(rng.choices("abcdefgh", k=40)) for _ in range(15))]
+        rows.append((i, "\n".join(lines), ["en", "de", None][group], "ab"[group % 2] if i > 20 else "rare", 1))
+    got = {r["doc_id"]: r for r in quality_rules.judge(spark, spark.createDataFrame(rows, DOC)).collect()}
+    figures, groups = {}, {}
+    for i, text, lang, source, _ in rows:
+        n, chars, symbols, dup, repeat = helpers.base_figures(text)
+        lines = max(1, sum(bool(helpers.words(x)) for x in text.split("\n")))
+        figures[i] = ((symbols / max(chars, 1), dup / lines, chars / max(n, 1)), ((symbols - 2) / max(chars, 1), (dup - 2) / lines, chars / max(n, 1)), n < 10 or 100 * repeat > 20 * n)
+        if not figures[i][2]:
+            groups.setdefault((lang, source), []).append(i)
+    quartile = lambda ids, c, p: sorted(figures[i][0][c] for i in ids)[max(0, -(-len(ids) * p // 4) - 1)]
+    every = [i for ids in groups.values() for i in ids]
+    limits = {}
+    for key, ids in groups.items():
+        for c in range(3):
+            own, pooled, few = (quartile(ids, c, 1), quartile(ids, c, 3)), (quartile(every, c, 1), quartile(every, c, 3)), len(ids) < quality_rules.LEAST
+            spread = pooled[1] - pooled[0] if few or own[1] <= own[0] else own[1] - own[0]
+            limits[key, c] = (pooled if few else own)[1] + 3 * spread if spread > 0 or c < 2 else float("inf")
+    rejected = 0
+    for i, _, lang, source, _ in rows:
+        want = not figures[i][2] and all(figures[i][1][c] <= limits.get(((lang, source), c), float("inf")) for c in range(3))
+        assert got[i]["kept"] == want, i
+        rejected += not want and not figures[i][2]
+    assert rejected > 3 and len({round(v, 6) for (_, c), v in limits.items() if c == 2}) >= 3
+
+
 def test_quality_rules_keep_good(spark, sf_dir, docs, none):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     kept = {r["doc_id"]: (r["kept"], r["base_failed"]) for r in quality_rules.judge(spark, docs).collect()}
