@@ -97,7 +97,7 @@ def ledger(events: DataFrame, key: str) -> DataFrame:
 
 @query(
     "ledger_chain",
-    "ST03 ST04",
+    "ST03",
     """WITH RECURSIVE o AS (SELECT user_id, event_id, sha256(event_id || '|' || event_type) AS h, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
 c AS (SELECT user_id, i, n, sha256('genesis' || h) AS head FROM o WHERE i = 1 UNION ALL SELECT o.user_id, o.i, o.n, sha256(c.head || o.h) FROM c JOIN o ON o.user_id = c.user_id AND o.i = c.i + 1) SELECT user_id, n, head FROM c WHERE i = n""",
 )

@@ -186,3 +186,10 @@ def test_compare_and_set(spark):
     state = spark.createDataFrame([(1, 0, 5), (2, 3, 6), (3, 0, 7)], "id long, revision int, value int")
     asked = spark.createDataFrame([(1, 0, 50, 2), (1, 0, 51, 1), (2, 2, 60, 3), (9, 0, 1, 4)], "id long, expected int, value int, op long")
     assert sorted(map(tuple, access.swap(state, asked).collect())) == [(1, 1, 51, 1), (2, 3, 6, 1), (3, 0, 7, 0)]
+
+
+def test_topological_reports_cycles(spark):
+    edges = [(1, 2), (1, 3), (2, 4), (3, 4), (4, 9), (1, 9), (5, 6), (6, 7), (7, 5), (7, 8)]
+    nodes = spark.createDataFrame([(i,) for i in range(1, 11)], "node long")
+    got = dict(rows(access.topological(nodes, spark.createDataFrame(edges, "src long, dst long"))))
+    assert got == {1: 0, 10: 0, 2: 1, 3: 1, 4: 2, 9: 3, 5: None, 6: None, 7: None, 8: None}
