@@ -4,7 +4,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.plans.registry import query, table
+from quarry.plans.registry import query, table, texts
 
 TOKEN = r"[\p{IsLatin}\p{M}\p{Nd}_]+|\p{L}"
 _TOK = r"regexp_extract_all(lower(text), '[\p{Latin}\p{M}\p{Nd}_]+|\p{L}')"
@@ -26,7 +26,7 @@ _SHAPE = r"regexp_replace(regexp_replace(regexp_replace({x}, '\p{Lu}', 'A', 'g')
 @query("token_counts", "X01 X03", f"SELECT doc_id, len({_TOK})::BIGINT AS n_tokens, len(list_distinct({_TOK}))::BIGINT AS n_distinct FROM documents")
 def token_counts(spark, d):
     t = tokens(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
+    return texts(spark, d).select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
 
 
 @query(
@@ -68,7 +68,7 @@ round(len(regexp_extract_all(text, '[\p{P}\p{S}]')) / greatest(length(text), 1),
 def script_mass(spark, d):
     n = F.greatest(F.length("text"), F.lit(1))
     share = lambda p: F.round(F.regexp_count("text", F.lit(p)) / n, 6)
-    return table(spark, d, "documents").select("doc_id", share(r"\p{IsLatin}").alias("latin"), share(r"\p{Nd}").alias("digits"), share(r"[\p{P}\p{S}]").alias("marks"))
+    return texts(spark, d).select("doc_id", share(r"\p{IsLatin}").alias("latin"), share(r"\p{Nd}").alias("digits"), share(r"[\p{P}\p{S}]").alias("marks"))
 
 
 #: Fixed patterns of what redaction hides.
@@ -87,7 +87,7 @@ def redact(text: Column) -> Column:
     "WITH r AS (SELECT doc_id, text, " + "regexp_replace(" * 4 + "text" + "".join(f", '{p}', '{t}', 'g')" for p, t in SECRETS) + " AS r FROM documents) SELECT doc_id, md5(r) AS digest, length(r)::BIGINT AS n_chars FROM r WHERE r <> text",
 )
 def redact_secrets(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", "text", redact(F.col("text")).alias("r"))
+    rows = texts(spark, d).select("doc_id", "text", redact(F.col("text")).alias("r"))
     return rows.where("r <> text").select("doc_id", F.md5("r").alias("digest"), F.length("r").cast("long").alias("n_chars"))
 
 
@@ -100,7 +100,7 @@ o AS (SELECT doc_id, i, strlen(para) AS bytes, length(para) AS chars, coalesce(s
 SELECT doc_id, byte_start // 1024 AS chunk, min(byte_start) AS byte_start, max(byte_start + bytes) AS byte_end, sum(chars)::BIGINT AS n_chars FROM o GROUP BY 1, 2""",
 )
 def chunk_offsets(spark, d):
-    return chunks(table(spark, d, "documents"), 1024)
+    return chunks(texts(spark, d), 1024)
 
 
 def chunks(docs: DataFrame, size: int) -> DataFrame:
@@ -115,7 +115,7 @@ def chunks(docs: DataFrame, size: int) -> DataFrame:
 @query("content_ids", "X19 S24", "SELECT DISTINCT 'ev_' || substr(sha256(text), 1, 24) AS content_id, sha256(text) AS content_hash, strlen(text)::BIGINT AS bytes FROM documents WHERE text IS NOT NULL")
 def content_ids(spark, d):
     digest = F.sha2("text", 256)
-    rows = table(spark, d, "documents").where("text IS NOT NULL")
+    rows = texts(spark, d).where("text IS NOT NULL")
     return rows.select(F.concat(F.lit("ev_"), F.substring(digest, 1, 24)).alias("content_id"), digest.alias("content_hash"), F.octet_length("text").cast("long").alias("bytes")).dropDuplicates(["content_hash"])
 
 
@@ -222,4 +222,4 @@ def nfc(text: Column) -> Column:
 
 @query("normalised_text", "S04", "SELECT doc_id, md5(nfc_normalize(replace(text, chr(13) || chr(10), chr(10)))) AS digest FROM documents WHERE text IS NOT NULL")
 def normalised_text(spark, d):
-    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.md5(nfc(F.col("text"))).alias("digest"))
+    return texts(spark, d).where("text IS NOT NULL").select("doc_id", F.md5(nfc(F.col("text"))).alias("digest"))

@@ -29,6 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents, for work that costs much a row: dealt anew where their files make fewer tasks than there are cores, and left where they lie otherwise."""
+    docs, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def run_sql(spark: SparkSession, sf_dir: str, text: str, *names: str, **more: DataFrame) -> DataFrame:
     """Spark SQL over {name} for each table named."""
     return spark.sql(text, **{n: table(spark, sf_dir, n) for n in names}, **more)
