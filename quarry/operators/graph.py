@@ -343,19 +343,6 @@ def walks(edges: DataFrame) -> DataFrame:
     return out
 
 
-@query("local_push", "G06")
-def local_push(spark, d):
-    """Forward-push personalised PageRank from two nations: residual above eps is pushed in rounds; the frontier alone is joined."""
-    e = cut(trade(spark, d).withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("src"))))
-    state = spark.createDataFrame([("c1", 0.0, 0.5), ("c2", 0.0, 0.5)], "node string, p double, r double")
-    for _ in range(8):
-        hot = state.where("r > 0.0005")
-        sent = hot.join(e, hot["node"] == e["src"]).groupBy(F.col("dst").alias("node")).agg(F.sum(0.85 * F.col("r") * F.col("w")).alias("in"))
-        kept = state.select("node", F.when(F.col("r") > 0.0005, F.col("p") + 0.15 * F.col("r")).otherwise(F.col("p")).alias("p"), F.when(F.col("r") > 0.0005, 0.0).otherwise(F.col("r")).alias("r"))
-        state = cut(kept.join(sent, "node", "full").select("node", F.coalesce("p", F.lit(0.0)).alias("p"), (F.coalesce("r", F.lit(0.0)) + F.coalesce("in", F.lit(0.0))).alias("r")))
-    return state.select("node", F.round("p", 6).alias("p"), F.round("r", 6).alias("r"))
-
-
 def _dual(n: int) -> str:
     """Two walks of n rounds from the same restart, over edges that sell much and over those that come back."""
     out = [f"WITH {_CS}", "r AS (SELECT 'c1' AS node, 0.5::DOUBLE AS p UNION ALL SELECT 'c2', 0.5)"]

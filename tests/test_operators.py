@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions.text import canonical_json, fnv1a, nfc
-from quarry.operators import access, graph, retrieval, temporal, writes
+from quarry.operators import access, graph, retrieval, temporal, walks, writes
 from quarry.operators.statistics import chernoff
 from quarry.plans.catalogue import QUERIES, SQL
 from quarry.sources import readers
@@ -36,6 +36,31 @@ def test_dense_walk(spark):
     assert all(abs(got.get(n, 0) - p[i]) < 1e-9 for i, n in enumerate(names))
 
 
+def test_second_order_walks_draw_by_weight(spark):
+    # from 0 to 1, then back to 0 (p), to 2, which 0 also has (1), or to 3, which it has not (q)
+    e = [(0, 1, 1.0), (1, 0, 1.0), (1, 2, 1.0), (2, 1, 1.0), (1, 3, 1.0), (3, 1, 1.0), (0, 2, 1e-9), (2, 0, 1e-9)]
+    edges = spark.createDataFrame([(a, b, m, 0, 4.0, 0.5, 0.0) for a, b, m in e], "src long, dst long, mass double, age int, p double, q double, decay double")
+    at = walks.second_order(edges, 4000, 2)[-1].where("start = 0 AND prev = 1").groupBy("node").count()
+    got = dict(rows(at))
+    n = sum(got.values())
+    for node, share in {0: 0.25 / 3.25, 2: 1 / 3.25, 3: 2 / 3.25}.items():
+        assert abs(got[node] / n - share) < 0.04
+
+
+def test_least_costs_and_unreachable(spark):
+    e = spark.createDataFrame([(1, 2, 5), (1, 3, 1), (3, 2, 1), (2, 4, 0), (8, 9, 1)], "src long, dst long, cost long")
+    assert sorted(rows(walks.least_costs(e, spark.createDataFrame([(1,)], "node long")))) == [(1, 0, None), (2, 2, 3), (3, 1, 1), (4, 2, 2)]
+
+
+def test_settle_has_no_better_flip():
+    rng = np.random.default_rng(2)
+    edges = [(a, b, float(rng.random()), bool(rng.random() < 0.5)) for a in range(8) for b in range(a)]
+    at, _, pressure = walks.settle(edges)
+    energy = lambda s: sum((c if s[a] == s[b] else -c) * (1 if o else -1) for a, b, c, o in edges)
+    assert all(energy({**at, x: 1 - at[x]}) >= energy(at) - 1e-12 for x in at)
+    assert pressure == sum(at[a] == at[b] for a, b, _, o in edges if o) / sum(o for *_, o in edges)
+
+
 def test_components_and_cores(spark):
     e = spark.createDataFrame([(1, 2, 1), (2, 3, 1), (1, 3, 1), (3, 4, 1), (8, 9, 1)], "a long, b long, w long")
     assert dict(rows(graph.components(e))) == {1: 1, 2: 1, 3: 1, 4: 1, 8: 8, 9: 8}
