@@ -174,3 +174,88 @@ def schema_columns(spark, d):
 def blob_store(spark, d):
     rows = table(spark, d, "pages").where("html IS NOT NULL AND octet_length(html) <= 1000000")
     return rows.groupBy(F.sha2("html", 256).alias("hash")).agg(F.first(F.octet_length("html")).cast("long").alias("bytes"), F.min("page_id").alias("first_page"))
+
+
+@query("gutenberg_body", "S14", "SELECT doc_id, md5(regexp_replace(text, '^[ \\t\\n\\v\\f\\r]+|[ \\t\\n\\v\\f\\r]+$', '', 'g')) AS digest FROM documents WHERE regexp_matches(text, '[^ \\t\\n\\v\\f\\r]')")
+def gutenberg_body(spark, d):
+    """Texts between a licence's START and END lines are read back without them."""
+    docs = table(spark, d, "documents").where(F.col("text").rlike(r"\S"))
+    book = F.concat(F.lit("Title\n*** START OF THE PROJECT BOOK ***\n"), "text", F.lit("\n*** END OF THE PROJECT BOOK ***\nlicence"))
+    return docs.select("doc_id", F.md5(strip_boilerplate(book)).alias("digest"))
+
+
+def identifiers_of(text: Column) -> Column:
+    """Distinct names in source code of three characters or more, cut at underscores and where a capital follows a small letter, in small letters and order."""
+    names = F.regexp_extract_all(text, F.lit(r"([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1))
+    words = F.flatten(F.transform(names, lambda x: F.split(F.regexp_replace(x, "([a-z0-9])([A-Z])", "$1_$2"), "_")))
+    return F.array_sort(F.array_distinct(F.transform(F.filter(words, lambda x: F.length(x) >= 3), lambda x: F.lower(x))))
+
+
+@query(
+    "code_surfaces",
+    "S15",
+    r"""WITH c AS (SELECT page_id, regexp_extract_all(html, '(?s)(#[^\n]*|//[^\n]*|/\*.*?\*/)', 1) AS c, list_reduce(list_prepend('', regexp_extract_all(html, '(?si)<(script|style)[^>]*>(.*?)</', 2)), lambda a, b: a || ' ' || b) AS code FROM pages WHERE html IS NOT NULL),
+w AS (SELECT page_id, len(c) AS comments, flatten(list_transform(regexp_extract_all(code, '([A-Za-z_][A-Za-z0-9_]*)', 1), lambda x: string_split(regexp_replace(x, '([a-z0-9])([A-Z])', '\1_\2', 'g'), '_'))) AS w FROM c)
+SELECT page_id, comments::INTEGER AS comments, array_to_string(list_sort(list_distinct(list_transform(list_filter(w, lambda x: length(x) >= 3), lambda x: lower(x)))), ' ') AS identifiers FROM w""",
+)
+def code_surfaces(spark, d):
+    """Comments counted in whole pages, identifiers of their scripts and styles."""
+    code = F.array_join(F.regexp_extract_all("html", F.lit(r"(?si)<(script|style)[^>]*>(.*?)</"), F.lit(2)), " ")
+    return table(spark, d, "pages").where("html IS NOT NULL").select("page_id", F.size(comments_of(F.col("html"))).alias("comments"), F.array_join(identifiers_of(code), " ").alias("identifiers"))
+
+
+#: lanes of an engineering folder by path, first match wins; the rest is held back
+LANES = [("code", r"\.(py|js|ts|rs|go|java|c|cpp)$"), ("tables", r"\.(csv|tsv|xlsx|parquet)$"), ("text", r"\.(md|txt|html)$|/(en|fr|de|es)/"), ("logs", r"\.log$")]
+
+
+def lane_of(path: Column) -> Column:
+    path, out = F.lower(path), None
+    for lane, pattern in LANES:
+        out = F.when(path.rlike(pattern), lane) if out is None else out.when(path.rlike(pattern), lane)
+    return out.otherwise("held")
+
+
+def dry_run(files: DataFrame) -> DataFrame:
+    """(lane, files, bytes, unique_files): what an ingest of files (path, length, sha256) would take, a row a lane, without taking it."""
+    return files.groupBy(lane_of(F.col("path")).alias("lane")).agg(F.count("*").alias("files"), F.sum("length").cast("long").alias("bytes"), F.count_distinct("sha256").alias("unique_files"))
+
+
+_LANE = "CASE " + " ".join(f"WHEN regexp_matches(lower(path), '{p}') THEN '{lane}'" for lane, p in LANES) + " ELSE 'held' END"
+
+
+@query("lane_dry_run", "S16", f"WITH f AS (SELECT regexp_replace(url, '[?].*', '') AS path, strlen(html) AS n, sha256(html) AS h FROM pages WHERE url IS NOT NULL AND html IS NOT NULL) SELECT {_LANE} AS lane, count(*) AS files, sum(n)::BIGINT AS bytes, count(DISTINCT h) AS unique_files FROM f GROUP BY 1")
+def lane_dry_run(spark, d):
+    pages = table(spark, d, "pages").where("url IS NOT NULL AND html IS NOT NULL")
+    return dry_run(pages.select(F.regexp_replace("url", "[?].*", "").alias("path"), F.octet_length("html").alias("length"), F.sha2("html", 256).alias("sha256")))
+
+
+CONCEPTS = "id string, weight double, edges array<struct<to: string, relation: string, weight: double>>"
+
+
+def concept_edges(lines: DataFrame, column: str = "value") -> DataFrame:
+    """(src, relation, dst, weight) of concept records, a JSON object a line; lines that do not parse or name no concept give none."""
+    x = lines.select(F.from_json(column, CONCEPTS).alias("x")).where("x.id IS NOT NULL").select("x.id", F.explode("x.edges").alias("e"))
+    return x.select(F.col("id").alias("src"), F.col("e.relation").alias("relation"), F.col("e.to").alias("dst"), F.col("e.weight").alias("weight"))
+
+
+@query("concept_stream", "S18", "SELECT 'o' || l_orderkey AS src, CASE WHEN l_returnflag = 'R' THEN 'returned' ELSE 'holds' END AS relation, 'p' || l_partkey AS dst, l_quantity AS weight FROM lineitem")
+def concept_stream(spark, d):
+    relation = F.when(F.col("l_returnflag") == "R", "returned").otherwise("holds")
+    edge = F.struct(F.concat(F.lit("p"), "l_partkey").alias("to"), relation.alias("relation"), F.col("l_quantity").alias("weight"))
+    rows = table(spark, d, "lineitem").groupBy(F.concat(F.lit("o"), "l_orderkey").alias("id")).agg(F.sum("l_quantity").alias("weight"), F.collect_list(edge).alias("edges"))  # an order's lines are few
+    return concept_edges(rows.select(F.to_json(F.struct("id", "weight", "edges")).alias("value")))
+
+
+@query("delimited_sniff", "S08", "SELECT c_custkey, c_name, c_acctbal FROM customer")
+def delimited_sniff(spark, d):
+    """Lines that differ in delimiter, each read by its own."""
+    mark = F.when(F.col("c_custkey") % 3 == 0, ",").when(F.col("c_custkey") % 3 == 1, "\t").otherwise(";")
+    line = F.concat(F.col("c_custkey"), mark, F.lit('"'), F.col("c_name"), F.lit('"'), mark, F.col("c_acctbal"))
+    return delimited(table(spark, d, "customer").select(line.alias("value")), "c_custkey long, c_name string, c_acctbal double")
+
+
+def delimited(lines: DataFrame, schema: str, column: str = "value") -> DataFrame:
+    """Columns of lines, each parsed with quotes by the delimiter it shows."""
+    first = sniff_delimiter(F.col(column))
+    parsed = F.when(first == ",", F.from_csv(column, schema, {"sep": ","})).when(first == "\t", F.from_csv(column, schema, {"sep": "\t"})).otherwise(F.from_csv(column, schema, {"sep": ";"}))
+    return lines.select(parsed.alias("x")).select("x.*")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions.text import canonical_json, fnv1a, nfc
-from quarry.operators import access, graph, retrieval, temporal, walks, writes
+from quarry.operators import access, graph, induction, retrieval, temporal, walks, writes
 from quarry.operators.statistics import chernoff
 from quarry.plans.catalogue import QUERIES, SQL
 from quarry.sources import readers
@@ -73,6 +73,54 @@ def test_flow_and_spectrum():
     assert abs(s["fiedler"] - 1) < 1e-9 and abs(s["largest"] - 3) < 1e-9
 
 
+def test_boundary_fit_has_no_gradient():
+    rng = np.random.default_rng(5)
+    x, pos, neg = rng.random((16, 4)) < 0.5, rng.integers(0, 50, 16), rng.integers(0, 200, 16)
+    b, w = induction.fit_boundary(x, pos, neg)
+    p = 1 / (1 + np.exp(-(b + x @ w)))
+    residual = p * (pos + neg) - pos
+    assert abs(residual.sum()) < 1e-5
+    assert np.abs(x.T @ residual / (pos + neg).sum() + 0.02 * w).max() < 1e-6
+
+
+def test_populations_are_told_apart():
+    x = [[0.0], [1.0]]
+    pos = [[5, 90]] * 6 + [[90, 5]] * 6
+    neg = [[95, 10]] * 6 + [[10, 95]] * 6
+    k, at, cost = induction.populations(x, pos, neg, [i % 3 == 2 for i in range(12)])
+    assert k == 2 and len(set(at[:6])) == len(set(at[6:])) == 1 and at[0] != at[6]
+    assert cost[2] < cost[1]
+    assert induction.populations(x, [[50, 50]] * 8, [[50, 50]] * 8, [i % 4 == 3 for i in range(8)])[0] == 1
+
+
+def test_complete_link_against_plain_search():
+    rng = np.random.default_rng(7)
+    jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 0.0
+    for least in (0.2, 0.5):
+        sets = [set(rng.integers(0, 9, 5).tolist()) for _ in range(14)] + [set(), set()]
+        clusters = [[i] for i in range(len(sets))]
+        while True:
+            pairs = [(min(jaccard(sets[x], sets[y]) for x in a for y in b), -i, -j) for i, a in enumerate(clusters) for j, b in enumerate(clusters) if i < j]
+            score, i, j = max(pairs)
+            if score < least:
+                break
+            clusters[-i] = clusters[-i] + clusters.pop(-j)
+        assert induction.complete_link(sets, least) == [sorted(c) for c in sorted(clusters, key=lambda c: c[0])]
+    assert induction.complete_link([], 0.5) == [] and induction.complete_link([{1}], 0.5) == [[0]]
+
+
+def test_roles_of_two_kinds():
+    x = [[1, 1, 1, 0, 0, 0, 1, 0]] * 12 + [[0, 0, 0, 1, 1, 1, 0, 1]] * 12
+    k, roles, cost = induction.medoid_roles(x, 5, [i % 4 == 0 for i in range(24)])
+    assert k == 2 and len(set(roles[:12])) == 1 and roles[0] != roles[12] and cost[2] < cost[1]
+
+
+def test_promotion_needs_sources_and_gain(spark):
+    seen = [("says", f"s{i}", "x") for i in range(60)] + [("noise", f"s{i}", "xyz"[i % 3]) for i in range(60)] + [("rare", "s1", "x")] + [("other", f"s{i}", "y") for i in range(60)] + [(None, "s1", "x")]
+    got = {r["relation"]: r["promoted"] for r in induction.promotions(spark.createDataFrame(seen, "relation string, source string, signature string")).collect()}
+    assert got == {"says": True, "noise": False, "rare": False, "other": True}
+
+
 def test_f_survival():
     # F(1, n) is the square of Student's t: P(F > 1) with one and one degrees is one half
     assert abs(temporal.f_survival(1.0, 1, 1) - 0.5) < 1e-9
