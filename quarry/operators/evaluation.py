@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.quantiles import quantiles
 from quarry.plans.registry import query, table
 
 _PRED = r"""WITH p AS (SELECT doc_id, source, quality AS y, least(greatest(length(regexp_replace(coalesce(text, ''), '[^a-z ]', '', 'g')) / greatest(length(coalesce(text, '')), 1)::DOUBLE, 0), 1) AS p FROM documents JOIN labels USING (doc_id))"""
@@ -101,7 +102,7 @@ def pairwise_summary(spark, d):
 
 @query("latency_percentiles", "M14 S27", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1")
 def latency_percentiles(spark, d):
-    q = table(spark, d, "events").groupBy("event_type").agg(F.percentile("value", [0.5, 0.95, 0.99]).alias("q"))
+    q = quantiles(table(spark, d, "events"), ["event_type"], "value", [0.5, 0.95, 0.99])
     return q.select("event_type", *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("p50", "p95", "p99"))])
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.quantiles import order_statistics, quantiles
 from quarry.operators.relational import both
 from quarry.plans.registry import query, table
 
@@ -21,11 +22,12 @@ def column_profile(spark, d):
 
 
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row a column: counts, distinct values, extremes, mean, population variance and exact quartiles, in one pass over the unpivoted rows."""
+    """One row a column: counts, distinct values, extremes, mean, population variance and exact quartiles. No group's distinct values are held by one task."""
     rows = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*")
-    q = F.percentile("v", [0.25, 0.5, 0.75])
-    out = rows.groupBy("col").agg(F.count("*").alias("n"), (F.count("*") - F.count("v")).alias("missing"), F.count_distinct("v").alias("n_distinct"), F.min("v").alias("low"), F.max("v").alias("high"), F.round(F.avg("v"), 4).alias("mean"), F.round(F.coalesce(F.var_pop("v"), F.lit(0.0)), 1).alias("variance"), q.alias("q"))
-    return out.select("*", *[F.round(F.col("q")[i], 4).alias(f"q{p}") for i, p in enumerate((25, 50, 75))]).drop("q")
+    plain = rows.groupBy("col").agg(F.count("*").alias("n"), (F.count("*") - F.count("v")).alias("missing"), F.min("v").alias("low"), F.max("v").alias("high"), F.round(F.avg("v"), 4).alias("mean"), F.round(F.coalesce(F.var_pop("v"), F.lit(0.0)), 1).alias("variance"))
+    q = quantiles(rows, ["col"], "v", [0.25, 0.5, 0.75]).select("col", "n_distinct", "q")
+    out = plain.join(q, "col", "left").fillna(0, "n_distinct")
+    return out.select("col", "n", "missing", "n_distinct", "low", "high", "mean", "variance", *[F.round(F.col("q")[i], 4).alias(f"q{p}") for i, p in enumerate((25, 50, 75))])
 
 
 @query("top_values", "X36 A06", "SELECT p_brand, p_type, n FROM (SELECT p_brand, p_type, count(*) AS n, row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, p_type) AS r FROM part GROUP BY 1, 2) WHERE r <= 4")
@@ -143,7 +145,7 @@ def relation_strength(spark, d):
     mean = F.exp(F.aggregate(F.transform("f", lambda x: F.log(x)), F.lit(0.0), lambda a, x: a + x) / F.size("f"))
     decay = F.pow(F.lit(0.5), F.datediff(F.lit("1998-12-31").cast("date"), F.col("l_shipdate").cast("date")) / 365.0)
     s = table(spark, d, "lineitem").withColumn("f", factors).select(F.when(F.array_min("f") <= 0, 0.0).otherwise(mean * (1 - contra)).alias("s"), decay.alias("decay"))
-    q = F.broadcast(s.agg(F.percentile("s", [0.25, 0.5, 0.75, 0.9]).alias("q")))
+    q = F.broadcast(quantiles(s, [], "s", [0.25, 0.5, 0.75, 0.9]).select("q"))  # one row
     state = F.when(F.col("s") >= F.col("q")[3], "fixed").when(F.col("s") >= F.col("q")[2], "strong").when(F.col("s") >= F.col("q")[1], "usual").when(F.col("s") >= F.col("q")[0], "weak").otherwise("faint")
     return s.crossJoin(q).groupBy(state.alias("state")).agg(F.count("*").alias("n"), F.round(F.avg("s"), 6).alias("mean"), F.round(F.avg(F.col("s") * F.col("decay")), 6).alias("decayed"))
 
@@ -211,7 +213,7 @@ SELECT round(sum(n * effect) / sum(n), 6) AS ate, count(*) AS strata, min(least(
 )
 def ate_stratified(spark, d):
     orders = table(spark, d, "orders")
-    m = F.broadcast(orders.agg(F.percentile("o_totalprice", 0.5).alias("m")))
+    m = F.broadcast(quantiles(orders, [], "o_totalprice", [0.5]).select(F.col("q")[0].alias("m")))  # one row
     r = orders.join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).crossJoin(m).select(F.col("c_mktsegment").alias("stratum"), (F.col("o_orderpriority") < "3").alias("treated"), (F.col("o_totalprice") > F.col("m")).cast("int").alias("y"))
     return stratified_effect(r)
 
@@ -230,11 +232,16 @@ def stratified_effect(rows: DataFrame) -> DataFrame:
 SELECT event_type, round(m - res, 6) AS low, round(m + res, 6) AS high FROM k WHERE k = least(n, ceil((n + 1) * 0.9))""",
 )
 def conformal_interval(spark, d):
-    rows = table(spark, d, "events")
-    m = rows.groupBy("event_type").agg(F.avg("value").alias("m"), F.count("*").alias("n"))
-    res = rows.join(m, "event_type").withColumn("res", F.abs(F.col("value") - F.col("m")))
-    k = res.withColumn("k", F.row_number().over(Window.partitionBy("event_type").orderBy("res")))
-    return k.where(F.col("k") == F.least(F.col("n"), F.ceil((F.col("n") + 1) * 0.9))).select("event_type", F.round(F.col("m") - F.col("res"), 6).alias("low"), F.round(F.col("m") + F.col("res"), 6).alias("high"))
+    return conformal(table(spark, d, "events"), "event_type", "value", 0.9)
+
+
+def conformal(rows: DataFrame, group: str, value: str, level: float) -> DataFrame:
+    """(group, low, high): the mean, less and plus the residual whose rank among the group's covers level; nulls take no part."""
+    m = rows.groupBy(group).agg(F.avg(value).alias("m"))
+    res = rows.join(m, group).withColumn("res", F.abs(F.col(value) - F.col("m")))
+    rank = lambda n: F.array((F.least(n, F.ceil((n + 1) * F.lit(level))) - 1).cast("long"))
+    at = order_statistics(res, [group], "res", rank).select(group, F.map_values("at")[0].alias("res"))
+    return m.join(at, group).select(group, F.round(F.col("m") - F.col("res"), 6).alias("low"), F.round(F.col("m") + F.col("res"), 6).alias("high"))
 
 
 @both("scalar_equations", "X29 X17 X31", "part")

@@ -113,10 +113,13 @@ def inline(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def batches_by_bytes(docs: DataFrame, key: str, size: Column, budget: int) -> DataFrame:
-    """(key, batch): items in order of key within their source, cut where the running bytes pass a multiple of budget."""
-    w = Window.partitionBy("source").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    return docs.select("source", key, F.floor(F.coalesce(F.sum(size).over(w), F.lit(0)) / budget).alias("batch"))
+def batches_by_bytes(docs: DataFrame, key: str, size: Column, budget: int, width: int = 4096) -> DataFrame:
+    """(source, key, batch): items in order of key, a whole number, within their source, cut where the running bytes pass a multiple of budget. Runs of width keys are summed first, so that no task orders a whole source."""
+    before = lambda order, *by: F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = docs.select("source", key, size.alias("_n"), F.floor(F.col(key) / width).alias("_run"))
+    runs = rows.groupBy("source", "_run").agg(F.sum("_n").alias("_n")).select("source", "_run", before("_run", "source").alias("_base"))
+    met = rows.withColumn("_own", before(key, "source", "_run")).join(runs.toDF("_source", "_r", "_base"), F.col("source").eqNullSafe(F.col("_source")) & F.col("_run").eqNullSafe(F.col("_r")))
+    return met.select("source", key, F.floor((F.col("_base") + F.col("_own")) / budget).alias("batch"))
 
 
 @query(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import canonical_json, fnv1a, nfc
 from quarry.operators import access, graph, induction, retrieval, temporal, walks, writes
+from quarry.operators.quantiles import quantiles
 from quarry.operators.statistics import chernoff
 from quarry.plans.catalogue import QUERIES, SQL
 from quarry.sources import readers
@@ -121,6 +122,33 @@ def test_promotion_needs_sources_and_gain(spark):
     assert got == {"says": True, "noise": False, "rare": False, "other": True}
 
 
+def test_quantiles_of_ties_nulls_and_skew(spark):
+    rng = np.random.default_rng(11)
+    groups = {"even": rng.random(5000), "steep": np.exp(rng.normal(0, 12, 5000)), "tied": np.repeat([1.0, 2.0, 1e9], [4000, 1, 2]), "one": np.array([-3.5]), None: np.arange(10.0)}
+    data = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("even", None), ("none", None)]
+    qs = [0.0, 0.1, 0.5, 0.999, 1.0]
+    got = {r["g"]: r for r in quantiles(spark.createDataFrame(data, "g string, v double").repartition(7), ["g"], "v", qs).collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        assert np.allclose(got[g]["q"], np.quantile(vs, qs), rtol=1e-12)
+        assert (got[g]["n"], got[g]["n_distinct"]) == (len(vs), len(set(vs.tolist())))
+    assert quantiles(spark.createDataFrame([], "v double"), [], "v", [0.5]).count() == 0
+
+
+def test_triangles_of_a_hub(spark):
+    e = [(0, i) for i in range(1, 60)] + [(i, i + 1) for i in range(1, 59, 2)]
+    got = sorted(rows(graph.triangles_of(spark.createDataFrame(e + e[:3], "a long, b long"))))
+    assert got == [(0, i, i + 1) for i in range(1, 59, 2)]
+
+
+def test_batches_across_runs(spark):
+    data = [(s, k, (k * 7) % 13) for s in ("x", None) for k in range(300)]
+    got = rows(readers.batches_by_bytes(spark.createDataFrame(data, "source string, k long, n long"), "k", F.col("n"), 50, width=16))
+    for s in ("x", None):
+        sizes = [n for a, _, n in data if a == s]
+        assert sorted((k, b) for a, k, b in got if a == s) == [(k, sum(sizes[:k]) // 50) for k in range(300)]
+
+
 def test_f_survival():
     # F(1, n) is the square of Student's t: P(F > 1) with one and one degrees is one half
     assert abs(temporal.f_survival(1.0, 1, 1) - 0.5) < 1e-9
