@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions.text import canonical_json, fnv1a, nfc
-from quarry.operators import access, graph, induction, retrieval, temporal, walks, writes
+from quarry.operators import access, graph, induction, postings, retrieval, temporal, walks, writes
 from quarry.operators.quantiles import quantiles
 from quarry.operators.statistics import chernoff
 from quarry.plans.catalogue import QUERIES, SQL
@@ -149,6 +149,23 @@ def test_batches_across_runs(spark):
         assert sorted((k, b) for a, k, b in got if a == s) == [(k, sum(sizes[:k]) // 50) for k in range(300)]
 
 
+def test_index_reopened_and_half_written(spark, tmp_path):
+    path = str(tmp_path / "index")
+    first, second = [(1, "red bolt bolt"), (2, "blue ring"), (3, None), (4, "")], [(5, "red ring red"), (6, "green")]
+    docs = lambda data: spark.createDataFrame(data, "doc_id long, text string")
+    postings.Postings(spark, path).add(docs(first))
+    index = postings.Postings(spark, path)
+    assert [r["doc_id"] for r in index.search(["bolt"], 5).collect()] == [1]
+    index.add(docs(second))
+    whole = dict(rows(index.search(["red", "ring"], 9)))
+    plain = retrieval.bm25_parts(docs(first + second), retrieval.query_terms(spark, ["red", "ring"])).groupBy("doc_id").agg(F.round(F.sum("part") / 2, 6))
+    assert whole == dict(rows(plain)) and set(whole) == {1, 2, 5}
+    # postings without totals are those of a batch that died
+    spark.createDataFrame([(9, 1, "red", 1, "dead", 0)], "key long, len long, term string, tf long, batch string, bucket int").withColumn("bucket", postings.bucket_of("term")).write.mode("append").partitionBy("batch", "bucket").parquet(f"{path}/postings")
+    assert dict(rows(index.search(["red", "ring"], 9))) == whole
+    assert index.search(["absent"], 3).count() == 0 and index.search([], 3).count() == 0
+
+
 def test_f_survival():
     # F(1, n) is the square of Student's t: P(F > 1) with one and one degrees is one half
     assert abs(temporal.f_survival(1.0, 1, 1) - 0.5) < 1e-9
