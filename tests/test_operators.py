@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions.text import canonical_json, fnv1a, nfc
-from quarry.operators import access, graph, induction, postings, retrieval, temporal, walks, writes
+from quarry.operators import access, graph, induction, postings, retrieval, surfaces, temporal, walks, writes
 from quarry.operators.quantiles import quantiles
 from quarry.operators.statistics import chernoff
 from quarry.plans.catalogue import QUERIES, SQL
@@ -166,6 +166,33 @@ def test_index_reopened_and_half_written(spark, tmp_path):
     assert index.search(["absent"], 3).count() == 0 and index.search([], 3).count() == 0
 
 
+def test_hidden_spans_map_back():
+    text = "mail a.b@c.org token=x@y.zz, 12-34-56! é password: p"
+    hidden, places = surfaces.hide(text)
+    assert hidden == "mail [EMAIL] [SECRET] [NUMBER]! é [SECRET]"
+    assert [(text[a:b], hidden[t : t + len(k)]) for a, b, t, k in places] == [("a.b@c.org", "[EMAIL]"), ("token=x@y.zz,", "[SECRET]"), ("12-34-56", "[NUMBER]"), ("password: p", "[SECRET]")]
+    for i, c in enumerate(hidden):
+        if not any(t <= i < t + len(k) for _, _, t, k in places):
+            assert text[surfaces.original_offset(places, i)] == c
+    assert surfaces.original_offset(places, 7) == 5 and surfaces.hide("") == ("", [])
+
+
+def test_cuts_against_all_ways():
+    def ways(w):
+        return [()] if not w else [(w[:n], *rest) for n in range(1, min(4, len(w)) + 1) for rest in ways(w[n:])]
+
+    rng = np.random.default_rng(4)
+    price: dict = {}
+    cost = lambda piece: price.setdefault(piece, float(rng.integers(1, 9)) + len(piece) / 8)
+    word = "abacabadab"
+    every = sorted((sum(cost(p) for p in way), way) for way in ways(word))
+    assert [p for _, p in surfaces.best_cuts(word, cost, 5)] == [p for _, p in every[:5]]
+    mass = sum(2**-c for c, _ in every)
+    for i, chance in enumerate(surfaces.cut_marginals(word, cost), 1):
+        assert abs(chance - sum(2**-c for c, way in every if i in np.cumsum([len(p) for p in way])) / mass) < 1e-12
+    assert surfaces.cut_marginals("", cost) == [] and surfaces.best_cuts("", cost, 3) == [(0.0, ())]
+
+
 def test_f_survival():
     # F(1, n) is the square of Student's t: P(F > 1) with one and one degrees is one half
     assert abs(temporal.f_survival(1.0, 1, 1) - 0.5) < 1e-9
