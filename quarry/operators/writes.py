@@ -1,7 +1,7 @@
 """Writes as new tables: insert-ignore, upserts, raise-only updates, cascading deletes and invariants.
 
 Parquet has no row updates, so each write is the query for the table's next version; the caller overwrites or swaps it.
-Compare-and-set and locks have no counterpart here and are left out.
+Compare-and-set stands beside the reads by id (access.py); locks have no counterpart here.
 """
 
 from __future__ import annotations
@@ -67,3 +67,43 @@ def cascading_delete(spark, d):
 def one_active(spark, d):
     n = F.count_if(F.col("o_orderstatus") == "P")
     return table(spark, d, "orders").groupBy("o_custkey").agg(n.alias("active"), (n <= 1).alias("holds"))
+
+
+def append_only(old: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """The next version of an immutable table, with how: changes (op, seq and old's columns) that insert a key that is not there, the first of several by seq, are appended; updates, deletes and inserts over a row are refused and counted, a row a key that they were asked for."""
+    names = old.columns
+    first = F.min_by(F.struct(*names), F.when(F.col("op") == "insert", F.col("seq")))
+    asked = changes.groupBy(key).agg(first.alias("new"), F.count_if(F.col("op") == "insert").alias("inserts"), F.count("*").alias("asked"))
+    met = old.select(key, F.struct(*names).alias("old")).join(asked, key, "full")
+    took = F.col("old").isNull() & (F.col("inserts") > 0)
+    out = met.select(key, F.coalesce("old", F.when(took, F.col("new"))).alias("x"), (F.coalesce("asked", F.lit(0)) - F.coalesce(took, F.lit(False)).cast("int")).cast("long").alias("refused"))
+    return out.select(key, *[F.col(f"x.{c}").alias(c) for c in names if c != key], F.col("x").isNotNull().alias("present"), "refused")
+
+
+@query(
+    "append_only_log",
+    "ST05",
+    """WITH o AS (SELECT event_id, event_type, value FROM events WHERE event_id % 4 <> 0), c AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'insert' WHEN 1 THEN 'update' ELSE 'delete' END AS op, event_id AS seq, event_type, value + 1 AS value FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, 'insert', event_id + 1, event_type, value + 2 FROM events WHERE event_id % 8 = 0),
+n AS (SELECT event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY seq) AS r FROM c WHERE op = 'insert') WHERE r = 1), k AS (SELECT event_id, count(*) AS asked FROM c GROUP BY 1), i AS (SELECT event_id FROM o UNION SELECT event_id FROM k)
+SELECT i.event_id, coalesce(o.event_type, n.event_type) AS event_type, coalesce(o.value, n.value) AS value, o.event_id IS NOT NULL OR n.event_id IS NOT NULL AS present, coalesce(asked, 0) - CASE WHEN o.event_id IS NULL AND n.event_id IS NOT NULL THEN 1 ELSE 0 END AS refused
+FROM i LEFT JOIN o USING (event_id) LEFT JOIN n ON n.event_id = i.event_id LEFT JOIN k ON k.event_id = i.event_id""",
+)
+def append_only_log(spark, d):
+    e = table(spark, d, "events").select("event_id", "event_type", "value")
+    op = F.when(F.col("event_id") % 3 == 0, "insert").when(F.col("event_id") % 3 == 1, "update").otherwise("delete")
+    first = e.where("event_id % 2 = 0").select("event_id", op.alias("op"), F.col("event_id").alias("seq"), "event_type", (F.col("value") + 1).alias("value"))
+    late = e.where("event_id % 8 = 0").select("event_id", F.lit("insert").alias("op"), (F.col("event_id") + 1).alias("seq"), "event_type", (F.col("value") + 2).alias("value"))
+    return append_only(e.where("event_id % 4 <> 0"), first.unionByName(late), "event_id")
+
+
+def admit(work: DataFrame, key: str, order: list, cost: str, budget: float) -> DataFrame:
+    """work with left, what a key's budget has before each piece, and admitted: pieces in order while their estimated costs fit; after the first that does not fit none is, as its deadline has passed. A key's work is ordered by one task."""
+    before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = work.withColumn("left", F.round(budget - F.coalesce(F.sum(cost).over(before), F.lit(0.0)), 6))
+    return rows.withColumn("admitted", F.col(cost) <= F.col("left"))
+
+
+@query("budget_admission", "ST11", "WITH r AS (SELECT user_id, event_id, abs(value) AS cost, round(500 - coalesce(sum(abs(value)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS \"left\" FROM events) SELECT user_id, event_id, \"left\", cost <= \"left\" AS admitted FROM r")
+def budget_admission(spark, d):
+    work = table(spark, d, "events").select("user_id", "event_id", "ts", F.abs("value").alias("cost"))
+    return admit(work, "user_id", ["ts", "event_id"], "cost", 500.0).select("user_id", "event_id", "left", "admitted")

@@ -193,6 +193,24 @@ def test_cuts_against_all_ways():
     assert surfaces.cut_marginals("", cost) == [] and surfaces.best_cuts("", cost, 3) == [(0.0, ())]
 
 
+def test_tree_decomposition_and_labels():
+    from itertools import product
+
+    rng = np.random.default_rng(9)
+    for _ in range(6):
+        pairs = {(a, b): float(rng.normal()) for a in range(8) for b in range(a) if rng.random() < 0.4}
+        bags = walks.tree_decomposition(list(pairs))
+        assert all(any(a in nodes and b in nodes for _, nodes, _ in bags) for a, b in pairs)
+        for x in {n for e in pairs for n in e}:
+            held = [i for i, nodes, _ in bags if x in nodes]
+            assert sum(bags[i][2] not in held for i in held) == 1  # one connected subtree
+        energy, labels = walks.least_labels(pairs, 2)
+        value = lambda s: sum(w if s[a] != s[b] else -w for (a, b), w in pairs.items())
+        nodes = sorted(labels)
+        least = min(value(dict(zip(nodes, states, strict=True))) for states in product((0, 1), repeat=len(nodes)))
+        assert abs(energy - least) < 1e-9 and abs(value(labels) - least) < 1e-9
+
+
 def test_f_survival():
     # F(1, n) is the square of Student's t: P(F > 1) with one and one degrees is one half
     assert abs(temporal.f_survival(1.0, 1, 1) - 0.5) < 1e-9
