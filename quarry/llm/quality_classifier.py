@@ -10,6 +10,7 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,14 +89,14 @@ def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.nda
     sign = np.where(y > 0, 1.0, -1.0)
     share = np.array([max(1, (y <= 0).sum()), max(1, (y > 0).sum())]) / max(1, len(y))
     upper = cost * 0.5 / share[(y > 0).astype(int)]
-    values = [scale[own] for own in rows]
-    norm = np.array([v @ v for v in values]) + 1e-12
+    # a row's values are looked up each time: held, they would take twice the memory of the features
+    norm = np.array([v @ v for v in (scale[own] for own in rows)]) + 1e-12
     w, a = np.zeros(WIDTH), np.zeros(len(rows))
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(rows)):
-            own, v = rows[i], values[i]
+            own, v = rows[i], scale[rows[i]]
             grad = sign[i] * (w[own] @ v) - 1
             new = min(max(a[i] - grad / norm[i], 0.0), upper[i])
             if new != a[i]:
@@ -161,8 +162,6 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, scratch: S
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(known), "id")  # about rows ids at most
 
     def run(batches):
-        import pyarrow as pa
-
         for batch in batches:
             found = [indicators(x.as_py() or "").tobytes() for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(found, pa.binary())], names=["id", "y", "found"])
@@ -174,8 +173,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, scratch: S
     if size > TRAIN_BYTES:
         found = found.where(F.pmod(F.xxhash64("id", F.lit("bytes")), F.lit(1 << 30)) < int((1 << 30) * TRAIN_BYTES / size))
     got = found.toArrow()
-    order = sorted(range(got.num_rows), key=lambda i: got["id"][i].as_py())
-    return fit([np.frombuffer(got["found"][i].as_py(), np.uint32) for i in order], np.array([got["y"][i].as_py() for i in order], int))
+    order = sorted(range(got.num_rows), key=got["id"].to_pylist().__getitem__)
+    y = got["y"].to_pylist()
+    # the lists are views of what has arrived, not copies: the driver holds the features once
+    model = fit([np.frombuffer(got["found"][i].as_buffer(), np.uint32) for i in order], np.array([y[i] for i in order], int))
+    del got
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -184,8 +188,6 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
     fields = plain.select("*", F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema
 
     def run(batches):
-        import pyarrow as pa
-
         for batch in batches:
             score = [model.score(x.as_py() or "") for x in batch.column("text")]
             kept = [batch.column(c) for c in batch.schema.names]
